@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, in expectation; chosen by the hash of their id.
-SAMPLE = 8000
+SAMPLE = 4000
 #: Hashed features.
 CELLS = 1 << 18
 #: Grades: 0 toxic, 1 poor, 2 good. A document stays if its grade is the best with this probability.
@@ -73,18 +73,27 @@ class Model:
         return above.sum(1), above[:, -1]
 
 
-def fit_arrays(rows: list[np.ndarray], grade: np.ndarray, cells: int = CELLS, grades: int = GRADES, l1: float = L1, rounds: int = ROUNDS, rare: int = RARE) -> Model:
-    """Accelerated proximal gradient on the mean log-likelihood with an L1 penalty; no random part."""
-    if not rows or len({*grade.tolist()}) < 2:
+def fit_arrays(flat: np.ndarray, sizes: np.ndarray, grade: np.ndarray, cells: int = CELLS, grades: int = GRADES, l1: float = L1, rounds: int = ROUNDS, rare: int = RARE) -> Model:
+    """Accelerated proximal gradient on the mean log-likelihood with an L1 penalty; no random part.
+
+    ``flat`` has the cells of all rows one after the other, ``sizes`` how many each row has.
+    """
+    n = len(sizes)
+    if len({*grade.tolist()}) < 2:
         return Model(np.zeros(cells), np.arange(grades - 1) - 50.0)
-    n, seen = len(rows), np.bincount(np.concatenate(rows), minlength=cells)
-    used = np.flatnonzero(seen >= min(rare, n // 50 + 1))
-    place = np.full(cells + 1, -1)
+    used = np.flatnonzero(np.bincount(flat, minlength=cells) >= min(rare, n // 50 + 1))
+    place = np.zeros(cells, np.int32)
     place[used] = np.arange(1, len(used) + 1)
-    rows = [np.append(r[r > 0], 0) for r in (place[x] for x in rows)]
+    place = place[flat]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[place > 0]
+    # Each row begins with a cell without weight, so none is empty.
+    owner = np.concatenate((np.arange(n, dtype=np.int32), owner))
+    order = np.argsort(owner, kind="stable")
+    flat = np.concatenate((np.zeros(n, np.int32), place[place > 0]))[order]
+    owner = owner[order]
     used = np.append(cells, used)
-    flat, sizes = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
+    starts = np.searchsorted(owner, np.arange(n))
+    sizes = np.diff(np.append(starts, len(flat)))
     share = np.array([(grade <= k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     cut = np.concatenate(([first[0]], np.log(np.maximum(np.diff(first), 0.05))))
@@ -128,7 +137,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     """Fit on about ``sample`` of the rated documents (ratings: id, grade), whole texts; a Poisson bound, so it may be broadcast."""
     total = ratings.count()
     if not total:
-        return fit_arrays([], np.zeros(0, int), cells)
+        return fit_arrays(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), cells)
     bound = int(min(1.0, sample / total) * 1_000_000)
     chosen = ratings.where(F.pmod(F.xxhash64(F.lit("classifier"), "id"), F.lit(1_000_000)) < bound)
 
@@ -141,7 +150,8 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "grade", "text")
     kind = docs.schema[id_col].dataType.simpleString()
     table = rows.mapInArrow(features, f"id {kind}, grade int, cells array<int>").toArrow().sort_by("id")
-    return fit_arrays([np.array(x, np.int64) for x in table.column("cells").to_pylist()], np.array(table.column("grade").to_pylist(), int), cells)
+    lists = table.column("cells").combine_chunks()
+    return fit_arrays(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), table.column("grade").to_numpy(), cells)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
