@@ -1,15 +1,533 @@
-"""All queries of the library by name, with SQL that gives the same rows."""
+"""All queries of the library by name, with SQL that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable
 
-def flagship(spark, sf_dir: str):
-    return queries()["clean_text_basic"](spark, sf_dir)
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parchment.functions import tables as M
+from parchment.functions import text as T
+from parchment.operators import archive as A
+from parchment.operators import merge as G
+from parchment.operators import quality as Q
+from parchment.operators import report as R
+from parchment.sources import decode as D
+from parchment.sources import files as S
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+STOP = ["of", "the", "and", "de", "la", "que", "der", "die", "und", "les", "to", "in"]
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_FOLD = r"replace(strip_accents(regexp_replace(regexp_replace({},'\.{{2,}}','','g'),'\s+',' ','g')),'ß','ss')"
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(f"SELECT doc_id, trim({_FOLD.format('text')}) AS cleaned FROM documents")
+def clean_text_basic(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(string_split(trim({_FOLD.format('lower(text)')}), ' '), lambda w: w NOT IN ('', {_STOP})), ' ') AS cleaned FROM documents")
+def clean_text_lower_stop(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.clean_text(F.col("text"), True, STOP).alias("cleaned"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace('..' || text || ' ...  x.' || turn || '....','\.{2,}','','g'),'\s+',' ','g')) AS cleaned FROM conversations")
+def remove_text_noise(spark, d):
+    noisy = F.concat(F.lit(".."), F.col("text"), F.lit(" ...  x."), F.col("turn").cast("string"), F.lit("...."))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.remove_noise(noisy).alias("cleaned"))
+
+
+@query(rf"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w NOT IN ('', {_STOP})), ' ') AS text_out FROM benchmark")
+def remove_stopwords_custom(spark, d):
+    return read(spark, d, "benchmark").select("item_id", T.remove_stopwords(F.col("text"), STOP).alias("text_out"))
+
+
+@query(r"SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(9) || '  ' ELSE text END AS t FROM documents) WHERE regexp_matches(t, '[\p{L}\p{N}\p{P}\p{S}\p{M}]')")
+def meaningful_text_filter(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.lit("\t  ")).otherwise(F.col("text"))
+    return read(spark, d, "documents").where(T.has_meaning(t)).select("doc_id")
+
+
+_HTML = r"array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(html,'(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>|<!doctype[^>]*>|</?[a-z][^>]*>',chr(1),'g'),'&quot;','\"'),'&lt;','<'),'&gt;','>'),'&copy;','©'),'&middot;','·'),'&amp;','&'),chr(1)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x <> ''), ' ')".replace('\\"', '"')
+
+
+@query(f"SELECT page_id, {_HTML} AS text FROM pages")
+def html_to_text(spark, d):
+    return read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s'))::BIGINT AS n_links, len(regexp_extract_all(html, '(?i)<p>'))::BIGINT AS n_paragraphs FROM pages")
+def html_link_counts(spark, d):
+    return read(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("long").alias("n_links"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n_paragraphs"))
+
+
+@query(f"SELECT page_id, 'file_path_pwd:\"' || url || '\"' || chr(10) || {_HTML} AS tagged FROM pages")
+def tagged_text(spark, d):
+    return read(spark, d, "pages").select("page_id", T.tagged(F.col("url"), T.html_text(F.col("html"))).alias("tagged"))
+
+
+@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, count(*) AS n FROM documents GROUP BY source")
+def folder_concat(spark, d):
+    # The output row is the concatenation itself, so it must fit one row whatever the plan.
+    t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
+    return read(spark, d, "documents").groupBy("source").agg(F.md5(t.cast("binary")).alias("text_md5"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+k AS (SELECT path, string_split(path, '/') AS s FROM p)
+SELECT path, row_number() OVER (ORDER BY list_transform(s, lambda x, i: struct_pack(d := i < len(s), p := x)), path)::BIGINT AS pos FROM k""")
+def walk_order(spark, d):
+    p = read(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).distinct()
+    ordered = p.orderBy(T.walk_key(F.col("path")), "path").select("path")
+    schema = "path string, pos bigint"
+    rows = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))  # a window without partition would order all rows in one task
+    return spark.createDataFrame(rows, schema)
+
+
+@query(r"SELECT page_id, CASE WHEN trim(string_split(url, '/')[-1]) IN ('', '.', '..') THEN 'document' ELSE trim(string_split(url, '/')[-1]) END AS name FROM pages")
+def safe_filename(spark, d):
+    return read(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+_NAMES = "CASE doc_id % 6 WHEN 0 THEN '../' || source WHEN 1 THEN '/' || source WHEN 2 THEN 'c:' || source WHEN 3 THEN source || '/a/../b' WHEN 4 THEN source || '/..x/b.txt' ELSE source || '/b.txt' END"
+
+
+@query(rf"SELECT doc_id, name, NOT regexp_matches(name, '^/|(^|/)\.\.(/|$)|^.:') AS safe FROM (SELECT doc_id, {_NAMES} AS name FROM documents)")
+def safe_member_path(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.expr(_NAMES).alias("name")).withColumn("safe", T.is_safe_member(F.col("name")))
+
+
+_MAGIC = [(1, "%PDF-1.4", ".pdf"), (2, "{\\rtf1", ".rtf"), (3, "  {\\rtf", ".rtf"), (4, "PK\x03\x04ab", ".zip"), (5, "hello", None), (6, " %PDF", None), (7, "II*\x00", ".tif")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if e is None else repr(e)})" for i, _, e in _MAGIC) + ") AS t(id, ext)")
+def magic_sniff(spark, d):
+    df = spark.createDataFrame([(i, bytearray(s.encode("latin-1"))) for i, s, _ in _MAGIC], "id int, content binary")
+    return df.select("id", T.magic(F.col("content")).alias("ext"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '\P{L}', '', 'g')) / length(regexp_replace(text, '\s', '', 'g')) AS ratio FROM documents")
+def letter_ratio(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.letter_ratio(F.col("text")).alias("ratio"))
+
+
+_GLYPHS = "CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '[a-z]+', '/j12'{g}) WHEN 1 THEN regexp_replace(text, '[a-zé]', '(cid:7)'{g}) WHEN 2 THEN regexp_replace(text, '[a-z]', '!'{g}) ELSE text END"
+
+
+@query(r"""WITH t AS (SELECT doc_id, """ + _GLYPHS.format(g=", 'g'") + r""" AS x FROM documents),
+s AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '') AS w, length(x) - length(regexp_replace(x, '\(cid:\d+\)', '', 'g')) AS cid,
+length(regexp_replace(x, '\P{L}', '', 'g')) / nullif(length(regexp_replace(x, '\s', '', 'g')), 0) AS lr FROM t)
+SELECT doc_id, (len(w) >= 8 AND len(list_filter(w, lambda y: regexp_full_match(y, '/[A-Za-z]{0,4}\d{1,5}'))) / len(w) >= 0.4) OR (length(x) >= 40 AND ((cid > 0 AND cid / length(x) >= 0.3) OR coalesce(lr, 0) < 0.3)) AS flag FROM s""")
+def encoded_glyph_flag(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.expr(_GLYPHS.format(g="")).alias("x"))
+    return t.select("doc_id", T.encoded_glyphs(F.col("x")).alias("flag"))
+
+
+_TOK = r"regexp_extract_all({}, '[\p{{L}}\p{{Nl}}\p{{No}}]{{2,}}')"
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)")
+def word_tokens(spark, d):
+    t = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, coalesce(len(list_filter(t, lambda x: length(x) = 2)) / nullif(len(t), 0), 0.0)::DOUBLE AS ratio FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)")
+def two_char_ratio(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.two_char_ratio(T.tokens(F.col("text"))).alias("ratio"))
+
+
+_WIN = f"w AS (SELECT doc_id, s::INT AS start, t[s + 1 : s + 400] AS seg FROM (SELECT doc_id, t, unnest(range(0, greatest(1, len(t) - 400 + 1), 200)) AS s FROM t WHERE len(t) >= {{}}))"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), {_WIN.format(1)} SELECT doc_id, start, len(seg)::INT AS n, len(list_filter(seg, lambda x: length(x) = 2))::INT AS n2 FROM w")
+def token_windows(spark, d):
+    t = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return Q.windows(t, "doc_id", "t", 1).select("doc_id", "start", F.size("seg").alias("n"), F.size(F.filter("seg", lambda x: F.length(x) == 2)).alias("n2"))
+
+
+def lexicon(spark, d):
+    """The folded tokens of the benchmark stand in for a word list."""
+    return read(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("w")).select(Q.folded(F.col("w")).alias("word")).distinct()
+
+
+_LEX = f"lex AS (SELECT DISTINCT replace(strip_accents(lower(w)), 'ß', 'ss') AS word FROM (SELECT unnest({_TOK.format('text')}) AS w FROM benchmark))"
+_HIT = "replace(strip_accents(lower({})), 'ß', 'ss') IN (SELECT word FROM lex)"
+
+
+@query(f"""WITH {_LEX}, t AS (SELECT doc_id, {_TOK.format("CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '([^ ])([^ ])', chr(92) || '1' || chr(92) || '2 ', 'g') ELSE text END")} AS t FROM documents), {_WIN.format(60)},
+x AS (SELECT doc_id, start, len(seg) AS n, unnest(list_concat(list_filter(seg, lambda x: length(x) = 2), [NULL])) AS tok FROM w),
+p AS (SELECT doc_id, start, n, count(tok) AS two, count(tok) FILTER (WHERE {_HIT.format('tok')}) AS hits FROM x GROUP BY doc_id, start, n)
+SELECT doc_id, coalesce(max(CASE WHEN coalesce(hits / nullif(two, 0), 0) >= 0.6 THEN two / n END), 0.0)::DOUBLE AS score, bool_or(two / n >= 0.5 AND coalesce(hits / nullif(two, 0), 0) >= 0.6) AS flag FROM p GROUP BY doc_id""")
+def fragment_score(spark, d):
+    x = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "([^ ])([^ ])", "$1$2 ")).otherwise(F.col("text"))
+    return Q.fragments(read(spark, d, "documents").select("doc_id", T.tokens(x).alias("t")), "doc_id", "t", lexicon(spark, d))
+
+
+_CIPHER = "CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '([a-z])e', chr(92) || '1Í', 'g') ELSE text END"
+_ISC = r"(length({0}) >= 4 AND NOT regexp_matches({0}, '^ER?(?:[A-Z][a-z]?){{2,}}[0-9-]*$') AND regexp_extract({0}, '^.+?\p{{Ll}}(\p{{Lu}}.*)$', 1) <> '')"
+
+
+def _deformed(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "([a-z])e", "$1Í")).otherwise(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, len(list_filter({_TOK.format(_CIPHER)}, lambda x: {_ISC.format('x')}))::INT AS n_cipher FROM documents")
+def cipher_tokens(spark, d):
+    t = _deformed(spark, d)
+    return t.select("doc_id", F.size(F.filter(T.tokens(F.col("text")), Q.is_cipher)).alias("n_cipher"))
+
+
+@query(f"""WITH {_LEX}, t AS (SELECT doc_id, {_TOK.format(_CIPHER)} AS t FROM documents), {_WIN.format(80)},
+x AS (SELECT doc_id, start, len(seg) AS size, unnest(seg) AS tok FROM w),
+y AS (SELECT *, {_ISC.format('tok')} AND NOT (length(regexp_extract(tok, '^.+?\\p{{Ll}}(\\p{{Lu}}.*)$', 1)) >= 3 AND {_HIT.format("regexp_extract(tok, '^.+?" + chr(92) + "p{Ll}(" + chr(92) + "p{Lu}.*)$', 1)")}) AS bad, {_HIT.format('tok')} AS known FROM x),
+z AS (SELECT doc_id, start, size, lower(tok) AS low, sum(bad::INT) AS bad, sum(known::INT) AS known FROM y GROUP BY ALL),
+p AS (SELECT doc_id, start, size, sum(bad) AS bad, sum(known) AS known, count(*) FILTER (WHERE bad > 0) AS kinds, max(bad) AS top FROM z GROUP BY ALL),
+r AS (SELECT doc_id, CASE WHEN bad > 0 AND kinds >= 0.3 * bad AND top <= 0.4 * bad THEN bad / size ELSE 0.0 END::DOUBLE AS rate, known / size AS known FROM p)
+SELECT doc_id, max(rate) AS score, bool_or((rate >= 0.05 AND known < 0.72) OR (rate >= 0.035 AND rate < 0.05 AND known < 0.55)) AS flag FROM r GROUP BY doc_id""")
+def cipher_window_score(spark, d):
+    return Q.ciphers(_deformed(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t", lexicon(spark, d))
+
+
+@query(r"SELECT page_id, regexp_replace('see ' || url || ' and WWW.x.org/a?b for ' || page_id, '(?i)https?://\S+|\bwww\.\S+', ' ', 'g') AS text FROM pages")
+def url_strip_for_detection(spark, d):
+    t = F.concat(F.lit("see "), F.col("url"), F.lit(" and WWW.x.org/a?b for "), F.col("page_id").cast("string"))
+    return read(spark, d, "pages").select("page_id", T.drop_urls(t).alias("text"))
+
+
+@query(f"WITH {_LEX}, x AS (SELECT doc_id, unnest(list_concat({_TOK.format('text')}, [NULL])) AS tok FROM documents) SELECT doc_id, coalesce(count(tok) FILTER (WHERE {_HIT.format('tok')}) / nullif(count(tok), 0), 0.0)::DOUBLE AS rate FROM x GROUP BY doc_id")
+def dict_hit_rate(spark, d):
+    return Q.dict_rate(read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t", lexicon(spark, d))
+
+
+@query()
+def text_layer_broken(spark, d):
+    x = F.when(F.col("doc_id") % 6 == 1, F.regexp_replace("text", "[a-z]+", "/j12")).when(F.col("doc_id") % 6 == 2, F.regexp_replace("text", "([a-z])e", "$1Í")).when(F.col("doc_id") % 6 == 3, F.regexp_replace("text", "([^ ])([^ ])", "$1$2 ")).otherwise(F.col("text"))
+    return Q.broken(read(spark, d, "documents").select("doc_id", x.alias("text")), "doc_id", "text", lexicon(spark, d), fold=True)
+
+
+@query("""WITH p AS (SELECT doc_id, text, doc_id % 3 = 0 AS broken FROM documents),
+c AS (SELECT doc_id, 2 AS rank, 'poppler' AS engine, 'P:' || text AS cand, doc_id % 2 = 0 AS accepted FROM documents UNION ALL SELECT doc_id, 1, 'pdfplumber', lower(text), doc_id % 4 = 0 FROM documents),
+b AS (SELECT doc_id, arg_min(engine, rank) AS engine, arg_min(cand, rank) AS cand FROM c WHERE accepted GROUP BY doc_id)
+SELECT doc_id, CASE WHEN NOT broken THEN 'clean' WHEN b.cand IS NOT NULL THEN 'recovered' ELSE 'corrupt_unrecoverable' END AS status,
+CASE WHEN NOT broken THEN 'pypdf' ELSE coalesce(b.engine, '') END AS engine, CASE WHEN broken THEN coalesce(b.cand, text) ELSE text END AS text FROM p LEFT JOIN b USING (doc_id)""")
+def recovery_choice(spark, d):
+    docs = read(spark, d, "documents")
+    i = F.col("doc_id")
+    pages = docs.select("doc_id", "text", (i % 3 == 0).alias("broken"))
+    one = docs.select("doc_id", F.lit(2).alias("rank"), F.lit("poppler").alias("engine"), F.concat(F.lit("P:"), F.col("text")).alias("cand"), (i % 2 == 0).alias("accepted"))
+    two = docs.select("doc_id", F.lit(1).alias("rank"), F.lit("pdfplumber").alias("engine"), F.lower("text").alias("cand"), (i % 4 == 0).alias("accepted"))
+    return Q.first_accepted(pages, one.unionByName(two), ["doc_id"])
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END AS t FROM conversations WHERE turn % 5 <> 4),
+b AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(10) ELSE 'Q:' || text END AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN trim(coalesce(a.t, '')) <> '' THEN a.t ELSE coalesce(b.t, a.t, '') END AS text, trim(coalesce(a.t, '')) = '' AND trim(coalesce(b.t, ''), chr(10) || ' ') = '' AS blank FROM a FULL JOIN b USING (conv_id, turn)""")
+def merge_page_texts(spark, d):
+    c = read(spark, d, "conversations")
+    a = c.where("turn % 5 != 4").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    b = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "\n").otherwise(F.concat(F.lit("Q:"), F.col("text"))).alias("text"))
+    return R.merge_pages(a, b, ["conv_id", "turn"])
+
+
+_PAGES = "SELECT user_id, event_type, event_id AS index, CASE event_id % 7 WHEN 0 THEN 'recovered' WHEN 1 THEN 'recovered' WHEN 2 THEN 'corrupt_unrecoverable' ELSE 'clean' END AS status, CASE event_id % 7 WHEN 0 THEN 'ocr' WHEN 1 THEN 'poppler' WHEN 2 THEN '' ELSE 'pypdf' END AS engine, CASE WHEN event_id % 21 = 2 THEN 'throttled' ELSE '' END AS ocr_error FROM {}"
+
+
+def _pages(spark, d):
+    read(spark, d, "events").createOrReplaceTempView("parchment_events")
+    return spark.sql(_PAGES.format("parchment_events"))
+
+
+_ROLL = f"""p AS ({_PAGES.format('events')}),
+r AS (SELECT user_id, any_value(event_type) AS event_type, CASE WHEN bool_or(status = 'corrupt_unrecoverable') THEN CASE WHEN bool_or(status <> 'corrupt_unrecoverable') THEN 'partially_recovered' ELSE 'corrupt_unrecoverable' END
+WHEN bool_or(status = 'recovered') AND NOT bool_and(status = 'clean' OR engine = 'ocr') THEN 'partially_recovered' ELSE 'clean' END AS overall_status, bool_or(engine = 'ocr') AS used_ocr, list_sort(list(index) FILTER (WHERE ocr_error <> '')) AS failed FROM p GROUP BY user_id)"""
+
+
+@query(f"WITH {_ROLL} SELECT user_id, overall_status, used_ocr, coalesce(array_to_string(failed, ','), '') AS failed FROM r")
+def report_rollup(spark, d):
+    return R.rollup(_pages(spark, d), "user_id").select("user_id", "overall_status", "used_ocr", F.array_join(F.transform("failed_ocr_pages", lambda x: x.cast("string")), ",").alias("failed"))
+
+
+@query(f"WITH {_ROLL} SELECT user_id % 10 AS grp, CASE max(CASE overall_status WHEN 'corrupt_unrecoverable' THEN 2 WHEN 'partially_recovered' THEN 1 ELSE 0 END) WHEN 2 THEN 'corrupt_unrecoverable' WHEN 1 THEN 'partially_recovered' ELSE 'clean' END AS overall_status FROM r GROUP BY 1")
+def worst_status(spark, d):
+    return R.worst(R.rollup(_pages(spark, d), "user_id").withColumn("grp", F.col("user_id") % 10), "grp")
+
+
+@query(f"WITH p AS ({_PAGES.format('events')}) SELECT user_id, engine, count(*) AS n FROM p WHERE status = 'recovered' GROUP BY user_id, engine")
+def engine_counts(spark, d):
+    return _pages(spark, d).where("status = 'recovered'").groupBy("user_id", "engine").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, NOT bool_or(conv_id % 3 <> 0 AND trim(text) <> '') AS needs_ocr FROM conversations GROUP BY conv_id")
+def needs_ocr(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", F.when(F.col("conv_id") % 3 == 0, " \t").otherwise(F.col("text")).alias("text"))
+    return R.needs_ocr(c, "conv_id")
+
+
+_LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
+
+
+@query(f"""WITH m AS (SELECT *, floor(l_quantity * 10)::BIGINT AS bytes FROM lineitem),
+r AS (SELECT *, bytes <= 400 AS fits, sum((bytes <= 400)::INT) OVER w AS n, sum(CASE WHEN bytes <= 400 THEN bytes ELSE 0 END) OVER w AS total FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, max(fits AND (n > 5 OR total > 900)) OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING) AS stop FROM r)
+SELECT l_orderkey AS root, count(*) FILTER (WHERE NOT stop AND fits) AS kept, coalesce(sum(bytes) FILTER (WHERE NOT stop AND fits), 0)::BIGINT AS bytes, count(*) FILTER (WHERE stop) AS exhausted, count(*) FILTER (WHERE NOT stop AND NOT fits) AS too_large FROM s GROUP BY l_orderkey""")
+def archive_budget(spark, d):
+    m = read(spark, d, "lineitem").withColumn("bytes", F.floor(F.col("l_quantity") * 10))
+    b = A.budget(m, "l_orderkey", _LINE_ORDER.split(", "), "bytes", A.Limits(max_members=5, max_member_bytes=400, max_total_bytes=900))
+    return b.groupBy(F.col("l_orderkey").alias("root")).agg(F.count_if("kept").alias("kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("bytes"))), F.lit(0)).alias("bytes"), F.count_if(F.col("reason") == "budget exhausted").alias("exhausted"), F.count_if(F.col("reason") == "member too large").alias("too_large"))
+
+
+@query(r"""WITH p AS (SELECT page_id, string_split(url, '/')[3] AS host, 'f' || page_id % 7 || '.html' AS name FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY host, name ORDER BY page_id) - 1 AS k FROM p)
+SELECT page_id, CASE WHEN k > 0 THEN replace(name, '.html', '_' || k || '.html') ELSE name END AS dest FROM n""")
+def collision_names(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.get(F.split("url", "/"), F.lit(2)).alias("host"), F.concat(F.lit("f"), (F.col("page_id") % 7).cast("string"), F.lit(".html")).alias("name"))
+    return A.renamed(p, "host", "name", ["page_id"]).select("page_id", "dest")
+
+
+def _matrices(spark, d, header: tuple[str, ...] | None, blank: bool = False):
+    """A matrix for each order: item number, part name, unit, quantity, price; every third item number blank if wished."""
+    line, part = read(spark, d, "lineitem"), read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    j = line.join(part, "l_partkey")
+    number = F.when((F.col("l_partkey") % 3 == 0) & F.lit(blank), "").otherwise(F.col("l_linenumber").cast("string"))
+    cells = F.array(number, F.col("p_name"), F.lit("UN"), F.floor("l_quantity").cast("string"), F.concat(F.lit("R$ "), F.floor("l_extendedprice").cast("string"), F.lit(",00")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER.split(", "), cells.alias("cells")))), lambda x: x["cells"])
+    rows = F.concat(F.array(F.array(*map(F.lit, header))), rows) if header else rows
+    return j.groupBy(F.col("l_orderkey").alias("table_id")).agg(rows.alias("rows"))
+
+
+_CELLS = "l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {o}) AS i, {n} AS c0, p_name AS c1, 'UN' AS c2, floor(l_quantity)::BIGINT::VARCHAR AS c3, 'R$ ' || floor(l_extendedprice)::BIGINT || ',00' AS c4 FROM lineitem JOIN part ON p_partkey = l_partkey"
+_PLAIN = _CELLS.format(o=_LINE_ORDER, n="l_linenumber::VARCHAR")
+_BLANKED = _CELLS.format(o=_LINE_ORDER, n="CASE WHEN l_partkey % 3 = 0 THEN '' ELSE l_linenumber::VARCHAR END")
+_HEAD = ("ITEM", "DESCRIÇÃO", "UND", "QTD", "VALOR")
+
+
+@query("SELECT l_orderkey AS table_id, count(*) FILTER (WHERE l_partkey % 4 <> 0)::INT AS n_rows FROM lineitem GROUP BY l_orderkey")
+def drop_empty_rows(spark, d):
+    line = read(spark, d, "lineitem")
+    row = F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("l_partkey").cast("string")))
+    return line.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.collect_list(row).alias("rows")).select("table_id", F.size(M.drop_empty(F.col("rows"))).alias("n_rows"))
+
+
+@query(f"""WITH c AS (SELECT {_BLANKED}), g AS (SELECT *, sum((c0 <> '' OR i = 1)::INT) OVER (PARTITION BY l_orderkey ORDER BY i) AS grp FROM c)
+SELECT l_orderkey AS table_id, grp::INT AS row_no, max(c0) AS c0, string_agg(c1, ' ' ORDER BY i) AS c1, string_agg(c3, ' ' ORDER BY i) AS c3, string_agg(c4, ' ' ORDER BY i) AS c4 FROM g GROUP BY l_orderkey, grp""")
+def merge_continuations(spark, d):
+    m = _matrices(spark, d, None, True).select("table_id", F.posexplode(M.merge_continuations(F.col("rows"))).alias("p", "r"))
+    return m.select("table_id", (F.col("p") + 1).alias("row_no"), F.coalesce(F.get("r", F.lit(0)), F.lit("")).alias("c0"), *[F.get("r", F.lit(i)).alias(f"c{i}") for i in (1, 3, 4)])
+
+
+@query()
+def collapse_header(spark, d):
+    m = _matrices(spark, d, ("ITEM", "DESCRIÇÃO DO", "", "QTD", "VALOR"))
+    rows = F.concat(F.slice("rows", 1, 1), F.array(F.array(F.lit(""), F.lit("PRODUTO"), F.lit("UND"), F.lit(""), F.lit(""))), F.slice("rows", 2, F.size("rows")))
+    return m.select("table_id", M.markdown(F.slice(M.collapse_header(rows), 1, 1)).alias("header"), F.size(M.collapse_header(rows)).alias("n_rows"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]+')) AS line FROM documents), r AS (SELECT doc_id, regexp_extract_all(line, '[^|]{1,12}') AS x FROM c),
+p AS (SELECT doc_id, unnest(list_zip(x[1:len(x)-1], x[2:])) AS z FROM r), q AS (SELECT doc_id, regexp_replace(z[1], '^\s+|\s+$', '', 'g') AS a, regexp_replace(z[2], '^\s+|\s+$', '', 'g') AS b FROM p),
+s AS (SELECT doc_id, count(*) FILTER (WHERE a <> '' AND b <> '') AS n, count(*) FILTER (WHERE regexp_matches(a, '[A-Za-zÀ-ÿ]$') AND regexp_matches(b, '^[A-Za-zÀ-ÿ]')) AS cut FROM q GROUP BY doc_id)
+SELECT doc_id, cut / nullif(n, 0) AS ratio, coalesce(n, 0)::INT AS sample FROM documents LEFT JOIN s USING (doc_id)""")
+def word_split_ratio(spark, d):
+    rows = F.transform(F.regexp_extract_all("text", F.lit(r"[^\n]+"), 0), lambda x: F.regexp_extract_all(x, F.lit(r"[^|\n]{1,12}"), 0))
+    return read(spark, d, "documents").select("doc_id", M.word_splits(rows).alias("s")).select("doc_id", "s.ratio", "s.sample")
+
+
+@query("SELECT l_orderkey AS table_id, count(*) >= 2 AS ok FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+def meaningful_table(spark, d):
+    return _matrices(spark, d, None).select("table_id", M.meaningful(F.col("rows")).alias("ok"))
+
+
+@query(f"""WITH c AS (SELECT {_PLAIN}), t AS (SELECT l_orderkey, string_agg(CASE WHEN i <= 2 THEN c0 || '|' || c1 || '|UN|' || c3 END, '||' ORDER BY i) AS s, count(*) AS n FROM c GROUP BY l_orderkey)
+SELECT l_orderkey AS table_id, 0 AS strategy, '5/' || n || '/' || s[1:200] AS sig FROM t""")
+def dedupe_strategies(spark, d):
+    from pyspark.sql import Window as W
+
+    m = _matrices(spark, d, None).withColumn("strategy", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("sig", M.signature(F.col("rows"))).select("table_id", "strategy", "sig")
+    return m.groupBy("table_id", "sig").agg(F.min("strategy").alias("strategy"))
+
+
+@query(f"""WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, '| ITEM | DESCRIÇÃO | UND | QTD | VALOR |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || c0 || ' | ' || c1 || ' | ' || c2 || ' | ' || c3 || ' | ' || c4 || ' |', chr(10) ORDER BY i) AS md FROM c GROUP BY l_orderkey""")
+def table_markdown(spark, d):
+    return _matrices(spark, d, _HEAD).select("table_id", M.markdown(F.col("rows")).alias("md"))
+
+
+@query(f"""WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, '<table>' || chr(10) || '<tr><td>ITEM</td><td>DESCRIÇÃO</td><td>UND</td><td>QTD</td><td>VALOR</td></tr>' || chr(10) || string_agg('<tr><td>' || c0 || '</td><td>' || c1 || '</td><td>' || c2 || '</td><td>' || c3 || '</td><td>' || c4 || '</td></tr>', chr(10) ORDER BY i) || chr(10) || '</table>' AS html FROM c GROUP BY l_orderkey""")
+def table_html(spark, d):
+    return _matrices(spark, d, _HEAD).select("table_id", M.html(F.col("rows")).alias("html"))
+
+
+@query("""WITH t AS (SELECT r_name, r_regionkey, string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY n_nationkey) AS b FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT r_name, '<!-- table source=csv index=' || r_regionkey || ' sheet=' || r_name || ' -->' || chr(10) || '<table>' || chr(10) || b || chr(10) || '</table>' || chr(10) AS md FROM t""")
+def full_md(spark, d):
+    j = read(spark, d, "region").join(read(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))
+    t = j.groupBy("r_name", "r_regionkey").agg(rows.alias("rows"))
+    return t.select("r_name", F.concat(M.comment(F.lit("csv"), F.lit(None), F.col("r_regionkey"), F.col("r_name")), F.lit("\n"), M.html(F.col("rows")), F.lit("\n")).alias("md"))
+
+
+@query(f"WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, (count(*) + 1)::INT AS n_rows FROM c GROUP BY l_orderkey")
+def footer_drop(spark, d):
+    foot = [F.array(F.lit("SUBTOTAL"), F.lit("9")), F.array(F.lit("Atenção: veja"), F.lit("")), F.array(F.lit(" valor  total"), F.lit("9")), F.array(F.lit(""), F.lit("x" * 90)), F.array(F.lit(""), F.lit(" "))]
+    rows = F.concat("rows", F.array(*[F.concat(f, F.array_repeat(F.lit(""), 3)) for f in foot]))
+    return _matrices(spark, d, _HEAD).select("table_id", F.size(M.drop_footers(rows)).alias("n_rows"))
+
+
+@query()
+def cell_cleanup(spark, d):
+    t = F.concat(F.lit("R$ 99.068,7 1 ESTIMATIV A "), F.substring("text", 1, 40))
+    return read(spark, d, "documents").select("doc_id", M.clean_cell(t).alias("cell"))
+
+
+@query("SELECT p_partkey AS table_id, p_partkey % 4 IN (0, 1, 2) AS flag FROM part")
+def itemish_header(spark, d):
+    heads = [("Item", "Descrição do produto", "Qtd"), ("CÓDIGO", "UND", "QUANT"), ("Lote", "Material", "Lance"), ("Nome", "Endereço", "QUANTIDADE")]
+    pick = F.element_at(F.array(*[F.array(*map(F.lit, h)) for h in heads]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("table_id"), M.itemish(F.array(pick, F.array(F.lit("1"), F.col("p_name"), F.lit("3")))).alias("flag"))
+
+
+@query(f"WITH c AS (SELECT {_PLAIN}), t AS (SELECT l_orderkey, i, c1 FROM c WHERE i <= 40) SELECT l_orderkey AS table_id, (count(*) >= 6 AND count(*) FILTER (WHERE length(c1) >= 12) >= greatest(3, floor(count(*) / 3))) AS flag FROM t GROUP BY l_orderkey")
+def dense_boq(spark, d):
+    rows = F.transform("rows", lambda r: F.concat(F.slice(r, 1, 4), F.array(F.lit(""))))
+    return _matrices(spark, d, None).select("table_id", M.dense_works(rows).alias("flag"))
+
+
+@query(f"WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, true AS meaningful, true AS first_row_is_header, true AS has_itemish_header, count(*)::INT AS n_data_rows, 1.0::DOUBLE AS qty_parse_rate, 1.0::DOUBLE AS value_parse_rate, true AS ok_for_items, count(*) >= 3 AS has_usable_tables FROM c GROUP BY l_orderkey")
+def score_table(spark, d):
+    return _matrices(spark, d, _HEAD).select("table_id", M.score(F.col("rows")).alias("q")).select("table_id", "q.*")
+
+
+@query()
+def merge_multipage(spark, d):
+    m = _matrices(spark, d, _HEAD).select("table_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"), "rows")
+    blocks = m.select("table_id", "page", F.lit(0).alias("index"), "rows")
+    return G.merge_pages(blocks, "table_id").select("table_id", "index", "page", F.size("rows").alias("n_rows"))
+
+
+@query("""WITH l AS (SELECT user_id, floor(value * 7)::DOUBLE AS x FROM events), s AS (SELECT user_id, x, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS y FROM l),
+g AS (SELECT user_id, (x + y) / 2 AS mid, row_number() OVER (PARTITION BY user_id ORDER BY y - x DESC, (x + y) / 2 DESC) AS k FROM s WHERE y - x >= 25),
+e AS (SELECT user_id, 0.0::DOUBLE AS e FROM l UNION SELECT user_id, mid FROM g WHERE k <= 8) SELECT user_id, count(*)::INT AS n_edges, sum(e) AS sum_edges FROM e GROUP BY user_id""")
+def column_edges(spark, d):
+    e = read(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.floor(F.col("value") * 7).cast("double")).alias("x")).select("user_id", G.column_edges(F.col("x")).alias("e"))
+    return e.select("user_id", F.size("e").alias("n_edges"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("sum_edges"))
+
+
+@query()
+def words_to_matrix(spark, d):
+    word = F.struct(F.floor(F.col("value") * 7).cast("double").alias("left"), ((F.col("event_id") % 5) * 40.0).alias("top"), F.col("event_type").alias("text"))
+    w = read(spark, d, "events").groupBy("user_id").agg(F.collect_list(word).alias("w"))
+    m = w.select("user_id", G.matrix(G.clustered(F.col("w"), F.lit(800.0)), G.column_edges(F.transform("w", lambda x: x["left"]))).alias("m"))
+    return m.select("user_id", F.coalesce(F.size("m"), F.lit(0)).alias("n_rows"), M.markdown(F.col("m"), header=False).alias("md"))
+
+
+def _parts(spark, d):
+    return read(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.concat_ws("\n", F.lit("ITEM,DESCRICAO,QTD"), F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), F.col("p_name"), F.lit(', x",3')), F.lit(" , ,")).cast("binary").alias("content"))
+
+
+@query("""SELECT 'f' || p_partkey || '.csv' AS path, 'ITEM DESCRICAO QTD ' || p_partkey || ' ' || p_name || ', x 3' AS text FROM part""")
+def csv_decode(spark, d):
+    f = _parts(spark, d).select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".csv")).alias("path"), "content")
+    return D.decode(f).select("path", "text")
+
+
+def _zipped(make: Callable[[str, str], dict[str, str]]):
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, n in zip(pdf.p_partkey, pdf.p_name, strict=True):
+                buf = io.BytesIO()
+                with zipfile.ZipFile(buf, "w") as z:
+                    for name, body in make(str(k), n).items():
+                        z.writestr(name, body)
+                out.append(buf.getvalue())
+            yield pd.DataFrame({"id": pdf.p_partkey, "content": out})
+
+    return run
+
+
+@query("""SELECT 'f' || p_partkey || '.zip' AS root, u.n AS member_no, u.path AS path, u.reason AS reason FROM part, (VALUES (0, 'a.txt', NULL), (1, '../evil.txt', 'unsafe path'), (2, 'sub/b.csv', NULL)) AS u(n, path, reason)""")
+def zip_explode(spark, d):
+    z = _parts(spark, d).select("p_partkey", "p_name").mapInPandas(_zipped(lambda k, n: {"a.txt": n, "../evil.txt": "x", "sub/b.csv": k}), "id bigint, content binary")
+    return A.explode(z.select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".zip")).alias("filename"), "content")).select("root", "member_no", "path", "reason")
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+@query("SELECT p_partkey::VARCHAR || '.docx' AS path, 'Part ' || p_name || ' end' AS text FROM part")
+def docx_decode(spark, d):
+    def make(k, n):
+        return {"word/document.xml": f"<w:document {_W}><w:body><w:p><w:r><w:t>Part </w:t></w:r><w:r><w:t>{n}</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>"}
+
+    z = _parts(spark, d).select("p_partkey", "p_name").mapInPandas(_zipped(make), "id bigint, content binary")
+    return D.decode(z.select(F.concat(F.col("id").cast("string"), F.lit(".docx")).alias("path"), "content")).select("path", "text")
+
+
+@query("SELECT p_partkey::VARCHAR || '.xlsx' AS path, 'Item Name ' || p_partkey || ' ' || p_name AS text FROM part")
+def xlsx_decode(spark, d):
+    def make(k, n):
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        return {
+            "xl/workbook.xml": f'<workbook xmlns:r="{rel}"><sheets><sheet name="Itens" sheetId="1" r:id="rId1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f"<sst><si><t>Item</t></si><si><t>Name</t></si><si><t>{n}</t></si></sst>",
+            "xl/worksheets/sheet1.xml": f'<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>{k}</v></c><c r="C2" t="s"><v>2</v></c></row></sheetData></worksheet>',
+        }
+
+    z = _parts(spark, d).select("p_partkey", "p_name").mapInPandas(_zipped(make), "id bigint, content binary")
+    return D.decode(z.select(F.concat(F.col("id").cast("string"), F.lit(".xlsx")).alias("path"), "content")).select("path", "text")
+
+
+@query()
+def structured_files(spark, d):
+    f = _parts(spark, d).select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".csv")).alias("path"), "content")
+    return S.structured(f)
+
+
+@query()
+def upload_text(spark, d):
+    z = _parts(spark, d).select("p_partkey", "p_name").mapInPandas(_zipped(lambda k, n: {"b/c.txt": k, "a.txt": n, "../evil.txt": "x"}), "id bigint, content binary")
+    return S.upload_texts(z.select(F.concat(F.lit("x/f"), F.col("id").cast("string"), F.lit(".zip")).alias("filename"), "content")).withColumn("skipped", F.array_join("skipped", ";"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN 'corrupt_unrecoverable' WHEN doc_id % 4 = 0 THEN 'recovered' ELSE 'clean' END AS status, CASE WHEN doc_id % 8 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'ocr' ELSE 'pypdf' END AS engine, CASE WHEN doc_id % 8 = 0 THEN 'throttled' ELSE '' END AS ocr_error FROM documents""")
+def ocr_stub_pipeline(spark, d):
+    docs = read(spark, d, "documents")
+    i = F.col("doc_id")
+    pages = docs.select("doc_id", "text", (i % 4 == 0).alias("broken"))
+    ocr = docs.where("doc_id % 4 = 0").select("doc_id", F.lit(1).alias("rank"), F.lit("ocr").alias("engine"), F.upper("text").alias("cand"), F.lit(True).alias("accepted"))
+    chosen = Q.first_accepted(pages, ocr, ["doc_id"]).withColumn("ocr_error", F.lit(""))
+    failed = docs.where("doc_id % 8 = 0").select("doc_id", F.lit("throttled").alias("reason"))
+    return R.mark_failures(chosen, failed, ["doc_id"]).select("doc_id", "status", "engine", "ocr_error")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_table(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
