@@ -89,7 +89,7 @@ class Block:
         left = np.flatnonzero(~done)
         score[left] = np.log(np.maximum(rest[0][left], 0.5)) + (top[left] - 1) * np.log(backoff)
         docs = len(self.sizes)
-        return np.bincount(self.doc, score, docs), np.bincount(self.doc[left], minlength=docs)
+        return np.bincount(self.doc, score, docs).astype(np.float64), np.bincount(self.doc[left], minlength=docs)
 
 
 def _split(types: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
