@@ -48,12 +48,13 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tie:
     total = groups.agg(F.sum(count)).first()[0] or 0
     cut = max(total // HOT_SHARE, 1)
     hot = groups.where(F.col(count) > cut).select(*keys, F.struct(*[groups[c] for c in carried]).alias("_hot"))
-    cold = groups.where(F.col(count) <= cut).select(*keys, F.lit(0).alias("_salt"), F.struct(*[groups[c] for c in carried]).alias("_cold"))
+    # The salt of the others is zero, but not a constant: a constant would leave the keys of the join.
+    cold = groups.where(F.col(count) <= cut).select(*keys, F.least(F.lit(0).cast("long"), F.col(count)).alias("_salt"), F.struct(*[groups[c] for c in carried]).alias("_cold"))
     out = rows.join(F.broadcast(hot), keys, "left")
     blank = F.col("_hot").isNotNull()
     for k in keys:
         blank = blank | F.col(k).isNull()
-    out = out.withColumn("_salt", F.when(blank, F.lit(1) + F.pmod(F.xxhash64(tie), F.lit(4096)).cast("int")).otherwise(0))
+    out = out.withColumn("_salt", F.when(blank, F.lit(1) + F.pmod(F.xxhash64(tie), F.lit(4096))).otherwise(F.lit(0).cast("long")))
     out = out.join(cold, [*keys, "_salt"], "left")
     picked = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[picked[c].alias(c) for c in carried])
