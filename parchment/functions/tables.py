@@ -188,7 +188,7 @@ def clean_cell(c: Column, passes: int = 6) -> Column:
     """Rejoin decimals and words that a layout cut off by one sign; up to ``passes`` times each."""
     out = cell(c)
     for _ in range(passes):
-        out = F.regexp_replace(out, r"(\d[0-9.]*,\d+)\s+(\d)(?U:\b)", "$1$2")
+        out = F.regexp_replace(out, r"([0-9][.0-9]*,[0-9]+)\s+([0-9])(?U:\b)", "$1$2")
     for _ in range(passes):
         out = F.regexp_replace(out, rf"(?U:\b)([{_LETTERS}]{{2,}})\s+([{_LETTERS}])(?U:\b)", "$1$2")
     return strip(F.regexp_replace(out, f"{WS}+", " "))

@@ -69,7 +69,7 @@ def letter_ratio(text: Column) -> Column:
 def encoded_glyphs(text: Column) -> Column:
     """Q2: undecoded glyph names, cid marks, or hardly any letter."""
     words = split_words(text)
-    names = F.size(F.filter(words, lambda w: w.rlike(r"^/[A-Za-z]{0,4}\d{1,5}$")))
+    names = F.size(F.filter(words, lambda w: w.rlike(r"^/[a-zA-Z]{0,4}[0-9]{1,5}$")))
     n, size = F.size(words), F.length(text)
     cid = size - F.length(F.regexp_replace(text, r"\(cid:\d+\)", ""))
     return F.coalesce(((n >= 8) & (names / n >= 0.4)) | ((size >= 40) & (((cid > 0) & (cid / size >= 0.3)) | (letter_ratio(text) < 0.3))), F.lit(False))
@@ -86,7 +86,7 @@ def two_char_ratio(toks: Column) -> Column:
 
 def drop_urls(text: Column) -> Column:
     """Q4 without the compatibility folding, for which Spark has no function; see operators.quality.nfkc."""
-    return F.regexp_replace(text, r"(?i)https?://\S+|\bwww\.\S+", " ")
+    return F.regexp_replace(text, r"(?i)\bwww\.\S+|https?://\S+", " ")
 
 
 def html_text(html: Column) -> Column:
@@ -124,9 +124,9 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"[^.](\.[^.]+)$", 1))
 
 
-DOCUMENTS = (".pdf", ".docx", ".txt", ".pptx", ".html", ".odt", ".rtf", ".csv", ".xml", ".xlsx", ".xlsm", ".xls", ".ods", ".dbf", ".jpg", ".jpeg", ".png", ".tif", ".tiff")
-STRUCTURED = (".pdf", ".docx", ".xlsx", ".xlsm", ".csv")
-OFFICE = (".docx", ".xlsx", ".xlsm", ".pptx", ".odt", ".ods")
+DOCUMENTS = tuple(".pdf .docx .txt .pptx .html .odt .rtf .csv .xml .xlsx .xlsm .xls .ods .dbf .jpg .jpeg .png .tif .tiff".split())
+STRUCTURED = tuple(".pdf .docx .xlsx .xlsm .csv".split())
+OFFICE = tuple(".docx .xlsx .xlsm .pptx .odt .ods".split())
 ARCHIVES = ".zip .jar .cbz .war .ear .rar .cbr .7z .cb7 .gz .bz2 .bz3 .tbz2 .tar .tgz .txz .cbt .iso .udf .deb .rpm .ace .cba .arj .cab .chm .cpio .dms .lha .lzh .lzma .lzo .xz .zst .zoo .adf .alz .arc .shn .rz .lrz .a .z".split()
 
 

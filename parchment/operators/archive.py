@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parchment.functions.text import OFFICE
+
 
 @dataclass(frozen=True)
 class Limits:
-    max_depth: int = 3
+    max_total_bytes: int = 1 << 30
+    max_member_bytes: int = 200 << 20
     max_members: int = 500
-    max_member_bytes: int = 200 * 1024 * 1024
-    max_total_bytes: int = 1024 * 1024 * 1024
+    max_depth: int = 3
 
 
 _FORMATS: dict[str, Callable[[bytes], Iterator[tuple[str, bytes]]]] = {}
@@ -174,7 +176,7 @@ def route(name: str, data: bytes, limits: Limits) -> Iterator[tuple[str, bytes |
 
     suffix = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     stem = name[: -len(suffix)] if suffix else name
-    office = suffix if suffix in (".docx", ".xlsx", ".xlsm", ".pptx", ".odt", ".ods") else is_office(data)
+    office = suffix if suffix in OFFICE else is_office(data)
     if office:
         yield stem + office, data, None
         return

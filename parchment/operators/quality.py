@@ -34,7 +34,7 @@ def windows(docs: DataFrame, key: str, toks: str, least: int) -> DataFrame:
 
 def is_cipher(tok: Column) -> Column:
     """Q7 without the lexicon: a capital after a small letter, from the third letter on; alloy codes excepted."""
-    return (F.length(tok) >= 4) & ~tok.rlike(r"^ER?(?:[A-Z][a-z]?){2,}[0-9-]*$") & tok.rlike(r"^..*?(?<=\p{Ll})\p{Lu}") & (F.regexp_extract(tok, r"^.+?\p{Ll}(\p{Lu}.*)$", 1) != "")
+    return (F.length(tok) >= 4) & ~tok.rlike(r"^ER?(?:[A-Z]|[A-Z][a-z]){2,}[-0-9]*$") & tok.rlike(r"^..*?(?<=\p{Ll})\p{Lu}") & (F.regexp_extract(tok, r"^.+?\p{Ll}(\p{Lu}.*)$", 1) != "")
 
 
 def cipher_tail(tok: Column) -> Column:
@@ -46,11 +46,11 @@ _VOWEL = "aeiouyàáâãäåéêëíîïóôõöúûü"
 
 
 def _word_shaped(seg: Column) -> Column:
-    core = F.regexp_replace(seg, r"^[A-Z]{2,6}(?=[a-zà-ÿ])", "")
+    core = F.regexp_replace(seg, r"^(?:[A-Z]{2,6})(?=[à-ÿa-z])", "")
     low = F.lower(core)
     letters = F.length(F.regexp_replace(core, r"\P{L}", ""))
     vowels = F.length(F.regexp_replace(low, f"[^{_VOWEL}]", ""))
-    begins = ~core.rlike(r"^[À-Þ]") & (low.rlike(f"^.?[{_VOWEL}]") | F.substring(low, 1, 2).isin("bl", "br", "ch", "cl", "cr", "dr", "fl", "fr", "gl", "gn", "gr", "lh", "mn", "nh", "pl", "pr", "ps", "tr", "vr"))
+    begins = ~core.rlike(r"^[À-Þ]") & (low.rlike(f"^.?[{_VOWEL}]") | F.substring(low, 1, 2).isin(*"bl br ch cl cr dr fl fr gl gn gr lh mn nh pl pr ps tr vr".split()))
     return (F.length(core) >= 4) & begins & (vowels >= 0.28 * letters) & ~low.rlike(rf"(?:(?![{_VOWEL}])\p{{L}}){{5,}}")
 
 
@@ -58,7 +58,7 @@ def is_glued(tok: Column) -> Column:
     """Whole words that only lack their spaces."""
     cut = F.split(F.regexp_replace(tok, r"(?<=\p{Ll})(?=M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$)[MDCLXVI]+$", ""), r"(?<=\p{Ll})(?=\p{Lu})")
     good = F.filter(cut, _word_shaped)
-    long = F.exists(good, lambda s: F.length(s) >= 10) & F.exists(cut, lambda s: s.rlike("^[A-Z]{2,6}$"))
+    long = F.exists(good, lambda s: F.length(s) >= 10) & F.exists(cut, lambda s: s.rlike("^(?:[A-Z]{2,6})$"))
     return (F.length(tok) >= 8) & (F.size(cut) >= 2) & ((F.size(good) >= 2) | long)
 
 

@@ -138,7 +138,7 @@ _GLYPHS = "CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '[a-z]+', '/j12'{g})
 @query(r"""WITH t AS (SELECT doc_id, """ + _GLYPHS.format(g=", 'g'") + r""" AS x FROM documents),
 s AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '') AS w, length(x) - length(regexp_replace(x, '\(cid:\d+\)', '', 'g')) AS cid,
 length(regexp_replace(x, '\P{L}', '', 'g')) / nullif(length(regexp_replace(x, '\s', '', 'g')), 0) AS lr FROM t)
-SELECT doc_id, (len(w) >= 8 AND len(list_filter(w, lambda y: regexp_full_match(y, '/[A-Za-z]{0,4}\d{1,5}'))) / len(w) >= 0.4) OR (length(x) >= 40 AND ((cid > 0 AND cid / length(x) >= 0.3) OR coalesce(lr, 0) < 0.3)) AS flag FROM s""")
+SELECT doc_id, (len(w) >= 8 AND len(list_filter(w, lambda y: regexp_full_match(y, '/[a-zA-Z]{0,4}[0-9]{1,5}'))) / len(w) >= 0.4) OR (length(x) >= 40 AND ((cid > 0 AND cid / length(x) >= 0.3) OR coalesce(lr, 0) < 0.3)) AS flag FROM s""")
 def encoded_glyph_flag(spark, d):
     t = read(spark, d, "documents").select("doc_id", F.expr(_GLYPHS.format(g="")).alias("x"))
     return t.select("doc_id", T.encoded_glyphs(F.col("x")).alias("flag"))
@@ -186,7 +186,7 @@ def fragment_score(spark, d):
 
 
 _CIPHER = "CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '([a-z])e', chr(92) || '1Í', 'g') ELSE text END"
-_ISC = r"(length({0}) >= 4 AND NOT regexp_matches({0}, '^ER?(?:[A-Z][a-z]?){{2,}}[0-9-]*$') AND regexp_extract({0}, '^.+?\p{{Ll}}(\p{{Lu}}.*)$', 1) <> '')"
+_ISC = r"(length({0}) >= 4 AND NOT regexp_matches({0}, '^ER?(?:[A-Z]|[A-Z][a-z]){{2,}}[-0-9]*$') AND regexp_extract({0}, '^.+?\p{{Ll}}(\p{{Lu}}.*)$', 1) <> '')"
 
 
 def _deformed(spark, d):
@@ -210,7 +210,7 @@ def cipher_window_score(spark, d):
     return Q.ciphers(_deformed(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t", lexicon(spark, d))
 
 
-@query(r"SELECT page_id, regexp_replace('see ' || url || ' and WWW.x.org/a?b for ' || page_id, '(?i)https?://\S+|\bwww\.\S+', ' ', 'g') AS text FROM pages")
+@query(r"SELECT page_id, regexp_replace('see ' || url || ' and WWW.x.org/a?b for ' || page_id, '(?i)\bwww\.\S+|https?://\S+', ' ', 'g') AS text FROM pages")
 def url_strip_for_detection(spark, d):
     t = F.concat(F.lit("see "), F.col("url"), F.lit(" and WWW.x.org/a?b for "), F.col("page_id").cast("string"))
     return read(spark, d, "pages").select("page_id", T.drop_urls(t).alias("text"))
@@ -367,7 +367,7 @@ def dedupe_strategies(spark, d):
     return m.groupBy("table_id", "sig").agg(F.min("strategy").alias("strategy"))
 
 
-@query(f"""WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, '| ITEM | DESCRIÇÃO | UND | QTD | VALOR |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || c0 || ' | ' || c1 || ' | ' || c2 || ' | ' || c3 || ' | ' || c4 || ' |', chr(10) ORDER BY i) AS md FROM c GROUP BY l_orderkey""")
+@query(f"""WITH c AS (SELECT {_PLAIN}) SELECT l_orderkey AS table_id, '| ITEM | DESCRIÇÃO | UND | QTD | VALOR |' || chr(10) || '| ' || repeat('--- | ', 4) || '--- |' || chr(10) || string_agg('| ' || c0 || ' | ' || c1 || ' | ' || c2 || ' | ' || c3 || ' | ' || c4 || ' |', chr(10) ORDER BY i) AS md FROM c GROUP BY l_orderkey""")
 def table_markdown(spark, d):
     return _matrices(spark, d, _HEAD).select("table_id", M.markdown(F.col("rows")).alias("md"))
 

@@ -39,7 +39,7 @@ def text(data: bytes) -> str:
         out = data.decode("utf-8")
     except UnicodeDecodeError:
         out = data.decode("latin-1")
-    return out.replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub("\r\n?", "\n", out)
 
 
 def csv_text(data: bytes) -> str:
@@ -370,7 +370,7 @@ def sniff(data: bytes) -> str | None:
     from parchment.operators.archive import is_office
 
     head = data[:64]
-    for sign, suffix in ((b"%PDF", ".pdf"), (b"\xff\xd8\xff", ".jpg"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"II*\0", ".tif"), (b"MM\0*", ".tif")):
+    for sign, suffix in ((b"\x89PNG\r\n\x1a\n", ".png"), (b"\xff\xd8\xff", ".jpg"), (b"%PDF", ".pdf"), (b"II*\0", ".tif"), (b"MM\0*", ".tif")):
         if head.startswith(sign):
             return suffix
     return ".rtf" if head.lstrip().startswith(b"{\\rtf") else is_office(data)
