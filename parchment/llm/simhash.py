@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, lookup
+from .near_copies import SIMILARITY, WIDTH, near_copies
 
 #: Fingerprints link at so many differing bits at most.
 RADIUS = 3
@@ -20,20 +21,26 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of one text; 0 if it has no word."""
+def shingle_hashes(text: str | None, width: int) -> bytes:
+    """The 64-bit hashes of all runs of ``width`` words, one after the other; of all words if there are fewer."""
     from xxhash import xxh64_digest
 
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     if len(words) <= width:
-        digests = xxh64_digest(joined, 42)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: -width])).tolist()
-        digests = b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
+        return xxh64_digest(joined, 42)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: -width])).tolist()
+    return b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of one text; 0 if it has no word."""
+    digests = shingle_hashes(text, width)
+    if not digests:
+        return 0
     raw = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(raw), 4096):
@@ -100,9 +107,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with only the row of the least id of each component; all columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with only the row of the least id of each component; all columns stay as they are.
+
+    Components are of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    not of near fingerprints: 64 bits differ in about ten places at 0.8. Rows without an id stay.
+    """
+    found = near_copies(docs, id_col, text_col, width, similarity)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
 
 
