@@ -184,13 +184,20 @@ def drop_footers(rows: Column) -> Column:
 _LETTERS = "A-Za-zÁÉÍÓÚÂÊÔÃÕÇáéíóúâêôãõç"
 
 
-def clean_cell(c: Column, passes: int = 6) -> Column:
-    """Rejoin decimals and words that a layout cut off by one sign; up to ``passes`` times each."""
-    out = cell(c)
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"([0-9][.0-9]*,[0-9]+)\s+([0-9])(?U:\b)", "$1$2")
-    for _ in range(passes):
-        out = F.regexp_replace(out, rf"(?U:\b)([{_LETTERS}]{{2,}})\s+([{_LETTERS}])(?U:\b)", "$1$2")
+def _settled(text: Column, pattern: str) -> Column:
+    """``pattern`` replaced by its two groups until nothing changes; a pass that changes anything removes white space."""
+
+    def step(a: Column, _: Column) -> Column:
+        return F.when(a["done"], a).otherwise(let(F.regexp_replace(a["t"], pattern, "$1$2"), lambda x: F.struct(x.alias("t"), (x == a["t"]).alias("done"))))
+
+    start = F.struct(text.alias("t"), (~text.rlike(pattern)).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\s"))), start, step, lambda a: a["t"])
+
+
+def clean_cell(c: Column) -> Column:
+    """Rejoin decimals and words that a layout cut off by one sign, however often; a pass joins a whole chain."""
+    out = let(cell(c), lambda t: _settled(t, r"(?:([0-9][.0-9]*+,[0-9]++)|\G(?!^))\s+([0-9])(?U:\b)"))
+    out = let(out, lambda t: _settled(t, rf"(?:(?U:\b)([{_LETTERS}]{{2,}})|\G(?!^))\s+([{_LETTERS}])(?U:\b)"))
     return strip(F.regexp_replace(out, f"{WS}+", " "))
 
 
