@@ -395,7 +395,7 @@ def footer_drop(spark, d):
 
 @query()
 def cell_cleanup(spark, d):
-    t = F.concat(F.lit("R$ 99.068,7 1 ESTIMATIV A "), F.substring("text", 1, 40))
+    t = F.concat(F.lit("R$ 99.068,7 1 ESTIMATIV A "), F.col("text"))
     return read(spark, d, "documents").select("doc_id", M.clean_cell(t).alias("cell"))
 
 
