@@ -14,7 +14,8 @@ _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}(?!\d)"
+#: A run of digit groups that may hold cards among other numbers; it stops before a date, address or security number.
+_CARD = rf"(?<![\p{{L}}\d])\d(?:(?![ -](?:{_DATE}|{_SSN}|{_IP}))[ -]?\d){{12,255}}(?!\d)"
 PATTERN = "|".join((_EMAIL, _SECRET, _PHONE, _IP, _DATE, _SSN, _CARD))
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIRST_YEAR, _YEARS = 1900, 200
@@ -78,6 +79,35 @@ def _card(m: Column, key: str, undo: bool) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn(F.regexp_replace(b, r"\D", ""), 1), F.lit(10)), F.lit(10)).cast("string")))
 
 
+def _cards(m: Column, key: str, undo: bool) -> Column:
+    """A run of digit groups with each card in it replaced (out), and their number (n).
+
+    From each group on, the longest 13 to 19 digits that end with a group and pass Luhn are a card.
+    """
+    groups = F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), 0)
+
+    def scan(g: Column) -> Column:
+        def at(a: Column, i: Column) -> Column:
+            def best(k: Column) -> Column:
+                digits = F.regexp_replace(F.array_join(F.slice(g, i + 1, k), ""), r"\D", "")
+                return F.when(F.length(digits).between(13, 19), F.pmod(_luhn(digits, 0), F.lit(10)) == 0).otherwise(False)
+
+            fits = F.filter(F.sequence(F.least(F.lit(19), F.size(g) - i), F.lit(1)), best)
+
+            def put(k: Column) -> Column:
+                part = F.array_join(F.slice(g, i + 1, k), "")
+                body = F.regexp_replace(part, r"[ -]$", "")
+                new = F.concat(_card(body, key, undo), F.substring(part, F.length(body) + 1, F.lit(1)))
+                return F.when(k.isNull(), F.struct(F.concat(a["out"], F.get(g, i)).alias("out"), a["n"].alias("n"), a["next"].alias("next"))).otherwise(F.struct(F.concat(a["out"], new).alias("out"), (a["n"] + 1).alias("n"), (i + k).alias("next")))
+
+            return F.when(i < a["next"], a).otherwise(_let(F.get(fits, F.lit(0)), put))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, at)
+
+    return _let(groups, scan)
+
+
 def _ip(m: Column, key: str, undo: bool) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     return F.array_join(F.transform(feistel(octets, F.array(*[F.lit(256)] * 4), "ip", key, undo), lambda x: x.cast("string")), ".")
@@ -120,7 +150,7 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), F.when(octets, F.lit("ip")))
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(day.isNotNull() & F.year(day).between(_FIRST_YEAR, _FIRST_YEAR + _YEARS - 1), F.lit("date")))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
-        .when(m.rlike(r"^\d[\d -]*\d$") & F.length(digits).between(13, 19) & (F.pmod(_luhn(digits, 0), F.lit(10)) == 0), F.lit("card"))
+        .when(m.rlike(r"^\d[\d -]*\d$") & (F.length(digits) >= 13), F.lit("card"))
         .when(m.rlike(r"(?i)^[0-9a-f]{16,}$") & m.rlike("(?i)[a-f]"), F.lit("secret"))
         .when(m.rlike(r"(?i)^[0-9a-z]{6,}$") & ~m.rlike(r"^\d{13,19}$"), F.lit("secret"))
     )
@@ -136,7 +166,6 @@ def _pseudonym(m: Column, kind: Column, key: str, undo: bool) -> Column:
         .when(kind == "ip", _ip(m, key, undo))
         .when(kind == "date", _date(m, key, undo))
         .when(kind == "ssn", F.concat(F.substring(m, 1, 1), _spelled(F.substring(m, 2, 64), "ssn", key, undo)))
-        .when(kind == "card", _card(m, key, undo))
         .when((kind == "secret") & m.rlike("(?i)^[0-9a-f]+$"), _spelled(m, "hex", key, undo, 6))
         .when(kind == "secret", _spelled(m, "secret", key, undo))
         .otherwise(m)
@@ -149,16 +178,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, undo:
 
     Equal values get equal pseudonyms in every document. What fails its check (Luhn, octets, calendar) stays. Null
     stays null with n_values 0. ``undo`` with the same key gives the values back (of ssn only where the pseudonym is
-    itself one that is issued). All other columns and all other text stay as they are.
+    itself one that is issued, and of cards where no other part of their run of digits passes Luhn by chance). All other columns and all other text stay as they are.
     """
     text = F.col(text_col)
     found = F.when(text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), 0))
-    out = docs.withColumn("_p_found", F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))))
-    out = out.withColumn("_p_new", F.when(F.exists("_p_found", lambda x: x["k"].isNotNull()), F.transform("_p_found", lambda x: _pseudonym(x["m"], x["k"], key, undo))))
+    out = docs.withColumn("_p_found", F.transform(found, lambda m: _let(_kind(m), lambda k: _let(F.when(k == "card", _cards(m, key, undo)), lambda c: F.struct(m.alias("m"), F.when((k != "card") | (c["n"] > 0), k).alias("k"), c["out"].alias("c"), F.coalesce(c["n"], k.isNotNull().cast("int")).alias("n"))))))
+    out = out.withColumn("_p_new", F.when(F.exists("_p_found", lambda x: x["k"].isNotNull()), F.transform("_p_found", lambda x: F.when(x["k"] == "card", x["c"]).otherwise(_pseudonym(x["m"], x["k"], key, undo)))))
     parts = F.split(text, PATTERN, -1)
     joined = _let(parts, lambda p: F.array_join(F.zip_with(p, F.concat("_p_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
     names = [c for c in out.columns if c not in ("_p_found", "_p_new", "n_values")]
-    count = F.coalesce(F.size(F.filter("_p_found", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long")
+    count = F.coalesce(F.aggregate("_p_found", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
     count = F.when(F.col("_p_found").isNull(), F.lit(0).cast("long")).otherwise(count)
     return out.select(*[F.when(F.col("_p_new").isNull(), text).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in names], count.alias("n_values"))
 
