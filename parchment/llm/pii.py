@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 KEY = "parchment-demo-key"
 ROUNDS = 8
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-_SECRET = r"(?i:(?<=token = \")[0-9a-f]{16,}+(?=\"))|(?i:(?<=password=)[0-9a-z]{6,}+)|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-_PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+_NAMED = r"(?<=[=:\s\"'])(?=[A-Za-z]*+[0-9])(?i:(?<=\b(?:access[_-]?token|auth[_-]?token|token|api[_-]?key|secret[_-]?key|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[0-9a-z]{6,}+)"
+_SECRET = r"(?i:(?<=token = \")[0-9a-f]{16,}+(?=\"))|(?i:(?<=password=)[0-9a-z]{6,}+)|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|" + _NAMED
+_PHONE = (
+    r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\d+])\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,5}(?![ .-]?\d)|(?<![\d.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d-]|\.\d)"
+)
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -146,7 +150,8 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), F.lit("key"))
-        .when(m.rlike(r"^(\+|\()"), F.lit("phone"))
+        .when(m.rlike(r"^(\+|\()"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
+        .when(m.rlike(r"^\d{3}([.-])\d{3}\1\d{4}$"), F.lit("phone"))
         .when(m.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), F.when(octets, F.lit("ip")))
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(day.isNotNull() & F.year(day).between(_FIRST_YEAR, _FIRST_YEAR + _YEARS - 1), F.lit("date")))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
