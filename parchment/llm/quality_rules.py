@@ -8,12 +8,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, lookup
 
 #: Hash cells of the two multinomials; the table of ratios has as many doubles, whatever the input.
 CELLS = 1 << 14
-#: Trusted documents, in expectation, chosen by the hash of their id; raw counts are over all documents.
-TRUSTED = 10_000
 #: Mean log ratio per n-gram from which a document stays.
 THRESHOLD = 0.0
 WINDOW = 5
@@ -75,16 +73,14 @@ def cells(text: Column, n: int = CELLS) -> Column:
     return _let(hashes, all_of)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = CELLS, bound: int = TRUSTED) -> list[float]:
-    """Log of trusted over raw probability by cell. ``trusted`` (id) is thinned by hash to ``bound`` ids in expectation.
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = CELLS) -> list[float]:
+    """Log of trusted over raw probability by cell. Every id of ``trusted`` counts.
 
     The trusted multinomial is smoothed towards the raw one, so a cell that trusted text never shows is judged by how
     often chance would have shown it. Without trusted text all ratios are zero.
     """
-    total = trusted.count()
-    share = int(min(1.0, bound / max(total, 1)) * 1_000_000)
-    chosen = trusted.where(F.pmod(F.xxhash64(F.lit("trusted"), "id"), F.lit(1_000_000)) < share).distinct().withColumn("_q_trusted", F.lit(1))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
+    chosen = trusted.where("id is not null").groupBy("id").agg(F.lit(1).alias("_q_trusted"), F.count(F.lit(1)).alias("_q_rows"))
+    marked = lookup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, ["id"], "_q_rows", "text")
     rows = marked.select("_q_trusted", F.explode(cells(F.col("text"), n)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("_q_trusted").alias("good")).collect()
     raw, good = [0] * n, [0] * n
     for cell, r, g in rows:
