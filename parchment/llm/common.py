@@ -14,15 +14,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session. Without one, a local master gets a temporary folder and a cluster an error."""
     sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="parchment-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parchment-"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those named, in whatever case: results take the place of columns of their names."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,25 +69,54 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tie:
     """``rows`` left joined to ``groups``, which has one row for each key and in ``count`` its number of rows.
 
     Keys over 1/1000 of all counted rows are fewer than 1000, whatever the input: they are broadcast. Their rows
-    are then spread over salts by the hash of ``tie``, so the shuffled join of all the others has no hot key.
-    Null keys match nothing.
+    are then spread over salts by the hash of ``tie`` and of the partition they come from, so the shuffled join of all
+    the others has no hot key. Null keys match nothing. ``groups`` is read three times. Columns of ``groups`` that
+    ``rows`` has already stay behind.
     """
+    hot_, cold_, salt_ = fresh(rows, "_hot", "_cold", "_salt")
     carried = [c for c in groups.columns if c not in keys and c not in rows.columns]
     total = groups.agg(F.sum(count)).first()[0] or 0
     cut = max(total // HOT_SHARE, 1)
-    hot = groups.where(F.col(count) > cut).select(*keys, F.struct(*[groups[c] for c in carried]).alias("_hot"))
+    hot = groups.where(F.col(count) > cut).select(*keys, F.struct(*[groups[c] for c in carried]).alias(hot_))
     # The salt of the others is zero, but not a constant: a constant would leave the keys of the join.
-    cold = groups.where(F.col(count) <= cut).select(*keys, F.least(F.lit(0).cast("long"), F.col(count)).alias("_salt"), F.struct(*[groups[c] for c in carried]).alias("_cold"))
+    cold = groups.where(F.col(count) <= cut).select(*keys, F.least(F.lit(0).cast("long"), F.col(count)).alias(salt_), F.struct(*[groups[c] for c in carried]).alias(cold_))
     out = rows.join(F.broadcast(hot), keys, "left")
-    blank = F.col("_hot").isNotNull()
+    blank = F.col(hot_).isNotNull()
     for k in keys:
         blank = blank | F.col(k).isNull()
-    out = out.withColumn("_salt", F.when(blank, F.lit(1) + F.pmod(F.xxhash64(tie), F.lit(4096))).otherwise(F.lit(0).cast("long")))
-    out = out.join(cold, [*keys, "_salt"], "left")
-    picked = F.coalesce("_hot", "_cold")
+    out = out.withColumn(salt_, F.when(blank, F.lit(1) + F.pmod(F.xxhash64(tie, F.spark_partition_id()), F.lit(4096))).otherwise(F.lit(0).cast("long")))
+    out = out.join(cold, [*keys, salt_], "left")
+    picked = F.coalesce(hot_, cold_)
     return out.select(*rows.columns, *[picked[c].alias(c) for c in carried])
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts of one id apart; null and empty are the same."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group: that of the least id (null is the greatest), of these the least text_key.
+
+    ``members`` has id, key (see text_key) and g for each row of ``docs`` that is in a group; other rows stay. Rows
+    are found again by id and key, so another text of the same id is not touched. Rows alike in both are one choice:
+    the first of them met stays. The columns of ``docs`` stay as they are.
+    """
+    per = checkpoint(members.groupBy("g", "id", "key").agg(F.count(F.lit(1)).alias("n")))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    best = checkpoint(per.groupBy("g").agg(F.min(place).alias("best"), F.sum("n").alias("m")))
+    judged = lookup(per, best, ["g"], "m", "key").select("id", "key", "n", (place == F.col("best")).alias("stays"))
+    name, null, key, stays = fresh(docs, "_one_id", "_one_null", "_one_key", "_one_stays")
+    marks = judged.where("n > 1 or not stays").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(name), F.col("id").isNull().alias(null), F.col("key").alias(key))
+    marks = checkpoint(marks.agg(F.max("stays").alias(stays), F.max("n").alias("n")))
+    rows = docs.withColumns({name: F.coalesce(F.col(id_col).cast("string"), F.lit("")), null: F.col(id_col).isNull(), key: text_key(F.col(text_col))})
+    found = lookup(rows, marks.withColumnRenamed("n", fresh(rows, "_one_n")[0]), [name, null, key], fresh(rows, "_one_n")[0], key)
+    left = found.where(F.col(stays).isNull())
+    if not marks.where(stays).isEmpty():
+        left = left.unionByName(found.where(stays).dropDuplicates([name, null, key]))
+    return left.select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint) as (node, root), root the least node; isolated nodes are absent.
 

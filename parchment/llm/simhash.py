@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, lookup
+from .common import checkpoint, components, lookup, one_of_each
 from .near_copies import SIMILARITY, WIDTH, near_copies
 
 #: Fingerprints link at so many differing bits at most.
 RADIUS = 3
 #: A segment value with more distinct fingerprints than this is linked through stars and not by pairs.
 DENSE = 256
+#: So many crowded values are broadcast at most (12 bytes each).
+FEW = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -75,7 +77,8 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     if crowd.isEmpty():
         return probes.join(table, ["s", "v"]).where((F.col("a") < F.col("fp")) & (far <= RADIUS)).select("a", F.col("fp").alias("b"))
     thin = table.join(crowd, ["s", "v"], "left_anti")
-    pairs = probes.join(thin, ["s", "v"]).where((F.col("a") != F.col("fp")) & (far <= RADIUS)).select("a", F.col("fp").alias("b"))
+    apart = probes.join(F.broadcast(crowd) if crowd.count() <= FEW else crowd, ["s", "v"], "left_anti")
+    pairs = apart.join(thin, ["s", "v"]).where((F.col("a") != F.col("fp")) & (far <= RADIUS)).select("a", F.col("fp").alias("b"))
     # Whoever may meet a crowd: its own members, and what has a crowd's value in its ball.
     near = probes.join(crowd.select("s", "v"), ["s", "v"], "left_semi").select(F.col("a").alias("fp")).distinct()
     one = [1 << i for i in range(64)]
@@ -108,14 +111,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with only the row of the least id of each component; all columns stay as they are.
+    """``docs`` with one row of each component: that of the least id, null being the greatest; all columns stay as they are.
 
     Components are of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more,
-    not of near fingerprints: 64 bits differ in about ten places at 0.8. Rows without an id stay.
+    not of near fingerprints: 64 bits differ in about ten places at 0.8. Another text under an id that goes is not
+    touched; of rows alike in id and text one stays. An empty table gives no rows.
     """
-    found = near_copies(docs, id_col, text_col, width, similarity)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return one_of_each(docs, near_copies(docs, id_col, text_col, width, similarity), id_col, text_col)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

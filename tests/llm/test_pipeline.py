@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parchment.llm import bpe, classifier, mixing, simhash
+from parchment.llm import bpe, classifier, mixing
 
 
 def test_pipeline_brute(spark, data):
@@ -22,13 +22,16 @@ def test_pipeline_brute(spark, data):
     for r in left:
         seen.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r[1]), r)
     left = [*seen.values()]
-    fps = {r[0]: simhash.fingerprint(r[1]) for r in left}
-    root = {i: i for i in fps}
-    for _ in range(4):
-        for i in fps:
-            for j in fps:
-                if (fps[i] ^ fps[j]).bit_count() <= 3:
-                    root[i] = root[j] = min(root[i], root[j])
+    sets = {}
+    for i, text, _ in left:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+        sets[i] = {tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))}
+    alike = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+    for _ in range(len(alike) + 1):
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    assert alike
     left = [r for r in left if root[r[0]] == r[0]]
     n: dict = {}
     for r in left:
