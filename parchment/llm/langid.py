@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,23 @@ SWITCH = 9.0
 SCALE = 0.35
 #: Words whose scores a worker keeps; a full store starts anew.
 STORE = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII, _ALNUM = re.compile(r"[a-z]+"), re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Marks, which belong to words, and signs that stand for numbers, which ``_ALNUM`` takes for letters; all above U+FFFF.
+_SPECIAL = re.compile("[%s\U00010000-\U0010ffff]" % "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc", "Me", "Nl", "No")))
 #: First code points of script ranges; words in ranges of one name are of one script.
 _RANGES = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han")]
 _STARTS = [a for a, _ in _RANGES]
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case: a letter and the letters and marks after it."""
+    text = text.lower()
+    if text.isascii():
+        return _ASCII.findall(text)
+    return (_WORDS if _SPECIAL.search(text) else _ALNUM).findall(text)
+
+
 def script(word: str) -> str:
     return _RANGES[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
@@ -132,7 +145,7 @@ class Tagger:
 
     def __call__(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Language of most letters, their share, and spans of words (first, past the last, language)."""
-        words = _LETTERS.findall((text or "").lower())
+        words = words_of(text or "")
         if not words or not self.model.langs:
             return "und", 0.0, []
         if len(self.known) > STORE:
@@ -155,9 +168,13 @@ class Tagger:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
-    """Learn from rows with a language and a text: about ``per_lang`` of each language, chosen by the hash of their id."""
+    """Learn from rows with a language, a text and an id: about ``per_lang`` of each language, chosen by the hash of their id.
+
+    Every language is learned; the model has 2^19 cells, or 4096 for each language if that is more. Texts without a
+    word teach nothing. Without any row nothing is learned, and ``identify`` answers ``und``.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    seen = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.desc("count")).limit(4096).collect()}
+    seen = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     langs = sorted(seen)
     if not langs:
         return Model([], np.zeros((1, 0)), np.zeros(0), np.zeros(0), {})
@@ -185,7 +202,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 k = at[lang]
-                tally[k].update(_LETTERS.findall(text.lower()))
+                tally[k].update(words_of(text))
                 if len(tally[k]) > STORE:
                     put(k)
         for k in range(len(langs)):
@@ -211,8 +228,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """id, lang_pred, score, spans for each row of ``docs``; only the text decides.
 
     ``und`` with score 0 and no span where the text is null or has no letter, or nothing was learned. The score is
-    the share of letters in spans of lang_pred; of equal shares the first language in order of names wins. Other
-    columns are not read; repeated rows give repeated rows.
+    the share of letters in spans of lang_pred; of equal shares the first language in order of names wins. Whole
+    texts are read, however long. Other columns are not read; repeated rows give repeated rows, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
