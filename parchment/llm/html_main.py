@@ -23,20 +23,37 @@ _CHROME = frozenset("head nav header footer aside form button select option menu
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "legend", "summary"}
 _HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_CHROME_HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice newsletter subscribe popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond related recommended share sharing social widget toolbar masthead contentinfo complementary search dialog alert skip footer header".split())
+_HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice newsletter subscribe popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond related recommended share sharing social widget toolbar masthead contentinfo complementary search dialog alert skip footer header".split())
+#: Words that may stand beside those in one name, as in ``comment-list``; ``share-prices`` has another and says nothing.
+_BESIDE = frozenset("list lists box block bar section container wrapper wrap area thread form links link buttons button posts post signup slot unit inner outer top bottom left right site page main global primary secondary and to".split())
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
+#: Inside an article only these are judged by their names: a paragraph or table there is text, whatever its class.
+_BOXES = frozenset("div section ul ol details dl".split())
 
 
-def _is_chrome(name: str, attrs: str) -> bool:
+def _named_chrome(attrs: str) -> bool:
+    """Whether a class, id or role is made of words for what is no article."""
+    for m in _HINT.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(_WORDS.findall(name))
+            if words & _HINTS and words <= _HINTS | _BESIDE:
+                return True
+    return False
+
+
+def _is_chrome(name: str, attrs: str, within: bool) -> bool:
     if name in _CHROME:
         return True
     if not attrs or name in ("article", "main", "body", "html"):
         return False
-    return any(w in _CHROME_HINTS for m in _HINT.finditer(attrs) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda q: q[0] if "display" in q[0] else "", attrs)))
+    return (not within or name in _BOXES) and _named_chrome(attrs) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda q: q[0] if "display" in q[0] else "", attrs)))
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
-    """Blocks of the article of one page, or of all that is no chrome; whether there was an article or main element."""
+    """Blocks of the article of one page, or of all that is no chrome; whether there was an article or main element.
+
+    A header inside the article gives its headings and no more.
+    """
     found: dict[str, list[str]] = {"article": [], "main": [], "": []}
     stack: list[tuple[str, bool]] = []
     skip = 0
@@ -57,11 +74,14 @@ def blocks(page: str) -> tuple[list[str], bool]:
         nonlocal skip
         name, chrome = stack.pop()
         skip -= chrome
+        if name in _HEADINGS and lifted and lifted[-1][0] == len(stack):
+            skip = lifted.pop()[1]
         kind = _kind.get(name)
         if kind:
             inside[kind] -= 1
 
     at, seen = 0, {"article": False, "main": False}
+    lifted: list[tuple[int, int]] = []  # headings of an article's header: their depth, and what to skip after them
     while True:
         m = _TAG.search(page, at)
         if not skip:
@@ -99,7 +119,11 @@ def blocks(page: str) -> tuple[list[str], bool]:
             text.append(" ")
         if name in _VOID or attrs.endswith("/") and name not in _BLOCK:
             continue
-        chrome = _is_chrome(name, attrs)
+        within = bool(inside["article"] or inside["main"])
+        chrome = _is_chrome(name, attrs, within)
+        if name in _HEADINGS and skip == 1 and within and any(x == "header" and c for x, c in stack):
+            lifted.append((len(stack), skip))
+            skip = 0
         stack.append((name, chrome))
         skip += chrome
         kind = _kind.get(name)
@@ -112,25 +136,32 @@ def blocks(page: str) -> tuple[list[str], bool]:
 
 
 _kind = {"article": "article", "main": "main"}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of pages with an article; null of those without."""
     for batch in batches:
-        texts = ["\n".join(blocks(h.as_py() or "")[0]) for h in batch.column(2)]
+        found = [blocks(h.as_py() or "") for h in batch.column(2)]
+        texts = ["\n".join(lines) if framed else None for lines, framed in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of pages and, at each token, the hash of the run that begins there; runs go on over blocks."""
+    """Blocks of pages without an article and, at each token, the hash of the run that begins there; runs go on over blocks."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        lines, runs = [], []
-        for h in batch.column(2):
-            found = blocks(h.as_py() or "")[0]
+        lines, runs, rows = [], [], []
+        for i, h in enumerate(batch.column(2)):
+            found, framed = blocks(h.as_py() or "")
+            if framed:
+                continue
+            rows.append(i)
             tokens = " ".join(found).split()
             lines.append(found)
             runs.append([xxh64_intdigest("\x1f".join(tokens[i : i + RUN]).encode("utf-8", "surrogatepass")) - (1 << 63) for i in range(len(tokens) - RUN + 1)])
+        batch = batch.take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "runs"])
 
 
@@ -165,8 +196,12 @@ def without_host_runs(pages: DataFrame, min_pages: int = PAGES) -> DataFrame:
     streams = pages.mapInArrow(_streams, f"page_id {kind}, url string, lines array<string>, runs array<bigint>")
     streams = checkpoint(streams.withColumn("host", host).withColumn("body", F.xxhash64("lines")).withColumn("row", F.monotonically_increasing_id()))
     at = streams.select("row", "host", "body", F.posexplode("runs").alias("start", "run"))
-    shared = at.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("x"), F.max("body").alias("y"), F.approx_count_distinct("body", 0.02).alias("bodies"))
-    shared = shared.where((F.col("x") != F.col("y")) & (F.col("bodies") >= min_pages) if min_pages > 2 else F.col("x") != F.col("y")).select("host", "run", "n")
+    shared = at.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("x"), F.max("body").alias("y"))
+    shared = shared.where(F.col("x") != F.col("y"))
+    if min_pages > 2:
+        bodies = at.select("host", "run", "body").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("bodies")).where(F.col("bodies") >= min_pages)
+        shared = shared.join(bodies, ["host", "run"])
+    shared = checkpoint(shared.select("host", "run", "n"))
     covered = lookup(at.select("row", "start", "host", "run"), shared.withColumn("hit", F.lit(True)), ["host", "run"], "n", "row").where("hit").groupBy("row").agg(F.collect_list("start").alias("starts"))
     return streams.join(covered, "row", "left").select("page_id", "url", "lines", "starts").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
 
@@ -174,15 +209,16 @@ def without_host_runs(pages: DataFrame, min_pages: int = PAGES) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = PAGES) -> DataFrame:
     """page_id, url, text of each row of ``pages``; text is empty for null, empty or textless html.
 
-    A page with an article element (else a main element) gives the blocks in it, less chrome: menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Any other page gives the blocks that
-    are no chrome, less the runs that other pages of its host have too. Repeated rows give repeated rows.
+    A page with an article element (else a main element) outside of chrome gives the blocks in it, less chrome: menus,
+    headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Any other page gives the
+    blocks that are no chrome, less the runs that other pages of its host have too. The parser decides which it is, so
+    an article in a comment is none. Repeated rows give repeated rows, an empty table none; a page is parsed whole,
+    however long. Columns but the three are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    framed = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>]"), F.lit(False))
     kind = pages.schema[id_col].dataType.simpleString()
-    one = rows.where(framed).mapInArrow(_structured, f"page_id {kind}, url string, text string")
-    out = one.unionByName(without_host_runs(rows.where(~framed), min_pages))
+    one = rows.mapInArrow(_structured, f"page_id {kind}, url string, text string").where("text is not null")
+    out = one.unionByName(without_host_runs(rows, min_pages))
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
