@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, without
+
 #: Mean bytes of a chunk; a cut is where the rolling hash of the last 16 bytes has its low bits unset.
 MEAN_CHUNK = 1024
 #: Bytes of chunks whose ids a worker keeps for later documents; a full store starts anew.
@@ -46,8 +48,8 @@ def _settled(data: bytes, at: int) -> int:
     return len(data)
 
 
-def chunks(data: bytes, mean: int = MEAN_CHUNK) -> Iterator[bytes]:
-    """``data`` in chunks; every join is repaired: what stands between a raw cut and the next settled place joins the left side."""
+def settled_chunks(data: bytes, mean: int = MEAN_CHUNK) -> Iterator[bytes]:
+    """``data`` in chunks whose ends are moved on to settled places, for vocabularies whose pre-tokens are not known here."""
     begin = 0
     for cut in cuts(data, mean).tolist():
         if cut <= begin:
@@ -61,6 +63,23 @@ def chunks(data: bytes, mean: int = MEAN_CHUNK) -> Iterator[bytes]:
         yield data[begin:]
 
 
+def chunks(data: bytes, mean: int = MEAN_CHUNK) -> Iterator[bytes]:
+    """``data`` in chunks that end where the rolling hash says, or at the end of the letter that stands there."""
+    begin = 0
+    for cut in cuts(data, mean).tolist():
+        while cut < len(data) and data[cut] & 0xC0 == 0x80:
+            cut += 1
+        if begin < cut < len(data):
+            yield data[begin:cut]
+            begin = cut
+    if begin < len(data):
+        yield data[begin:]
+
+
+#: The pre-tokens of byte-level vocabularies. A match depends on nothing before it, and on one letter after it at most.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Codec:
     """Ids as the tokenizers library gives them from ``path``, and back.
 
@@ -90,8 +109,7 @@ class Codec:
 
             letter = self._letters()
             known = {bytes(letter[c] for c in token): i for token, i in vocab.items() if token not in self.added}
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            fast = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=known, special_tokens=self.added)
+            fast = tiktoken.Encoding("given", pat_str=PRE_TOKEN, mergeable_ranks=known, special_tokens=self.added)
             self.encode = lambda text: fast.encode(text, allowed_special="all")
             self.pieces = [b""] * size
             for token, i in [*known.items(), *((t.encode(), i) for t, i in self.added.items())]:
@@ -112,32 +130,123 @@ class Codec:
 
 
 class Reuse:
-    """Encodes whole texts; a chunk that came before, in whichever document, is not encoded again."""
+    """Encodes whole texts; a chunk that came before, in whichever document, is not encoded again.
+
+    Chunks are encoded each for itself, so the ids around a join may be others than those of the whole. A join is
+    repaired by encoding again from the last pre-token of the left side on, until a pre-token of the text ends where one
+    of the right chunk does too: from there on both agree, since a pre-token depends on nothing before it.
+    """
 
     def __init__(self, path: str, mean: int = MEAN_CHUNK, room: int = STORE_BYTES) -> None:
-        self.codec, self.mean, self.room, self.used, self.hits = Codec(path), mean, room, 0, 0
-        self.store: dict[bytes, list[int]] = {}
+        import regex
+
+        self.codec, self.mean, self.room, self.used, self.hits, self.chunks, self.repairs = Codec(path), mean, room, 0, 0, 0, 0
+        self.store: dict[bytes, np.ndarray] = {}
+        self.pre = regex.compile(PRE_TOKEN)
+        self.added = regex.compile("|".join(map(regex.escape, sorted(self.codec.added, key=len, reverse=True)))) if self.codec.added else None
+
+    def _ids(self, chunk: bytes) -> np.ndarray:
+        key = hashlib.blake2b(chunk, digest_size=16).digest()
+        part = self.store.get(key)
+        self.chunks += 1
+        if part is None:
+            part = np.array(self.codec.encode(chunk.decode("utf-8", "surrogatepass")), np.uint32)
+            if self.used > self.room:
+                self.store.clear()
+                self.used = 0
+            self.used += part.nbytes + 150
+            self.store[key] = part
+        else:
+            self.hits += 1
+        return part
 
     def encode(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "surrogatepass")
-        if len(data) < self.mean // 4:
+        if len(text) < self.mean // 4:
             return self.codec.encode(text)
+        if self.codec.pieces is None:
+            return [i for c in settled_chunks(text.encode("utf-8", "surrogatepass"), self.mean) for i in self._ids(c).tolist()]
+        if self.added is None or not self.added.search(text):
+            return self._joined(text)
+        # An added token is one id whatever stands around it, and what is between two is encoded for itself.
+        ids, at = [], 0
+        for m in self.added.finditer(text):
+            ids += self._joined(text[at : m.start()])
+            ids.append(self.codec.added[m[0]])
+            at = m.end()
+        return ids + self._joined(text[at:])
+
+    def _joined(self, text: str) -> list[int]:
+        data = text.encode("utf-8", "surrogatepass")
+        parts = [c.decode("utf-8", "surrogatepass") for c in chunks(data, self.mean)]
+        if len(parts) < 2:
+            return self._ids(data).tolist() if parts else []
+        ends = np.cumsum([len(p) for p in parts]).tolist()
         ids: list[int] = []
-        for chunk in chunks(data, self.mean):
-            key = hashlib.blake2b(chunk, digest_size=16).digest()
-            part = self.store.get(key)
-            if part is None:
-                part = np.array(self.codec.encode(chunk.decode("utf-8", "surrogatepass")), np.uint32)
-                if self.used > self.room:
-                    self.store.clear()
-                    self.used = 0
-                self.used += part.nbytes + 150
-                self.store[key] = part
-            else:
-                self.hits += 1
-            ids += part.tolist()
+        done = 0  # all before this letter of the text is encoded; a pre-token begins here
+        reach = 0  # the pre-token that stands open goes on to here
+        for i, part in enumerate(parts):
+            begin, end = ends[i] - len(part), ends[i]
+            last = i == len(parts) - 1
+            stop = len(text) if last else begin + self._tail(part)
+            first = begin
+            if reach > stop and not last:
+                continue
+            if done < begin:
+                # The open end of the left side, then whole pre-tokens until one ends where one of this chunk does.
+                here, mine = begin, done
+                agreed, open_end = None, []
+                for m in self.pre.finditer(text, done):
+                    mine = m.end()
+                    open_end.append(m[0])
+                    while here < mine and here < end:
+                        here = begin + self.pre.match(part, here - begin).end()
+                    if mine == here and mine >= begin:
+                        agreed = mine
+                        break
+                    if mine >= stop:
+                        reach = mine
+                        break
+                self.repairs += 1
+                if agreed is None or agreed > stop:
+                    if not last:
+                        continue  # no agreement within this chunk: the open end grows by it
+                    agreed, open_end = len(text), [text[done:]]
+                # One by one: a run of white space is one pre-token at the end of a text and two before a letter.
+                for piece in open_end:
+                    ids += self.codec.encode(piece)
+                first = agreed
+            if first < stop:
+                ids += self._between(part, first - begin, stop - begin)
+            done = stop
         return ids
 
+    def _tail(self, part: str) -> int:
+        """Where a pre-token of ``part`` begins after which all may change with what follows."""
+        at = len(part)
+        while (at := part.rfind(" ", 1, at)) > 0:
+            if "!" <= part[at - 1] <= "~":
+                return at
+        begin = 0
+        for m in self.pre.finditer(part):
+            begin = m.start()
+        return begin
+
+    def _between(self, part: str, first: int, stop: int) -> list[int]:
+        """The ids of ``part`` between two letters at which pre-tokens begin or end."""
+        ids = self._ids(part.encode("utf-8", "surrogatepass")).tolist()
+        pieces = self.codec.pieces
+        skip = len(part[:first].encode("utf-8", "surrogatepass"))
+        a = 0
+        while skip > 0:
+            skip -= len(pieces[ids[a]])
+            a += 1
+        drop = len(part[stop:].encode("utf-8", "surrogatepass"))
+        b = len(ids)
+        while drop > 0:
+            b -= 1
+            drop -= len(pieces[ids[b]])
+        return ids[a:b]
+
 
 def _per_text(path: str, mean: int, make: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +258,14 @@ def _per_text(path: str, mean: int, make: Callable) -> Callable[[Iterator[pa.Rec
 
 
 def _ids(reuse: Reuse, batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = [reuse.encode(t.as_py() or "") for t in batch.column("_bpe_text")]
-    rest = [c for c in batch.schema.names if c != "_bpe_text"]
-    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(ids, pa.list_(pa.int32()))], names=[*rest, "ids"])
+    ids = [reuse.encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
+    rest = batch.schema.names[:-1]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*rest, "ids"])
 
 
 def _digests(reuse: Reuse, batch: pa.RecordBatch) -> pa.RecordBatch:
     n, by_ids, by_text = [], [], []
-    for t in batch.column("_bpe_text"):
+    for t in batch.column(1):
         ids = reuse.encode(t.as_py() or "")
         numerals = reuse.codec.numerals
         n.append(len(ids))
@@ -166,25 +275,34 @@ def _digests(reuse: Reuse, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, mean_chunk: int = MEAN_CHUNK) -> DataFrame:
-    """``docs`` with the column ids (array of int) instead of ``text_col``; a null text is empty and has no ids."""
-    rest = [c for c in docs.columns if c != text_col]
+    """``docs`` with the column ids (array of int) instead of ``text_col``.
+
+    A null or empty text has no ids; long texts are encoded whole. Repeated rows give repeated rows, an empty table
+    none. A column named ids is replaced, all others stay as they are.
+    """
+    rest = [c for c in without(docs, "ids") if c != text_col]
+    given = fresh(docs.select(*rest), "_bpe_text")[0]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select(*rest, F.col(text_col).alias("_bpe_text")).mapInArrow(_per_text(tokenizer or default_tokenizer(), mean_chunk, _ids), f"{schema}{', ' if rest else ''}ids array<int>")
+    return docs.select(*rest, F.col(text_col).alias(given)).mapInArrow(_per_text(tokenizer or default_tokenizer(), mean_chunk, _ids), f"{schema}{', ' if rest else ''}ids array<int>")
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``rows`` with the text of ``ids_col`` instead of it; null ids give null."""
+    """``rows`` with the text of ``ids_col`` instead of it; null ids give null, no ids the empty text.
+
+    A column named ``text_col`` is replaced, all others stay as they are. An empty table gives no rows.
+    """
     path = tokenizer or default_tokenizer()
-    rest = [c for c in rows.columns if c != ids_col]
+    rest = [c for c in without(rows, text_col) if c != ids_col]
+    ids_at = fresh(rows.select(*rest), "_bpe_ids")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
-            texts = [None if x.as_py() is None else codec.decode(x.as_py()) for x in batch.column(ids_col)]
+            texts = [None if x.as_py() is None else codec.decode(x.as_py()) for x in batch.column(ids_at)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string())], names=[*rest, text_col])
 
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in rest)
-    return rows.mapInArrow(run, f"{schema}`{text_col}` string")
+    return rows.select(*rest, F.col(ids_col).alias(ids_at)).mapInArrow(run, f"{schema}`{text_col}` string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, mean_chunk: int = MEAN_CHUNK) -> DataFrame:
