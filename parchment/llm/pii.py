@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Set your own: whoever knows the key can undo the pseudonyms.
-KEY = "parchment-demo-key"
+from .common import fresh, without
+
+#: The session setting from which the query takes its key, and the key of trials without it. Whoever knows a key can
+#: undo its pseudonyms, so the operator itself has no default.
+KEY_SETTING, TRIAL_KEY = "spark.parchment.pii.key", "parchment-trial"
+#: Country codes of telephone numbers, so that the national number is known however it is spaced.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ROUNDS = 8
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _NAMED = r"(?<=[=:\s\"'])(?=[A-Za-z]*+[0-9])(?i:(?<=\b(?:access[_-]?token|auth[_-]?token|token|api[_-]?key|secret[_-]?key|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[0-9a-z]{6,}+)"
@@ -68,6 +73,22 @@ def _spelled(body: Column, kind: str, key: str, undo: bool, letters: int = 26) -
     return _let(F.filter(F.split(body, ""), lambda c: c != ""), permuted)
 
 
+def _numbered(body: Column, fixed: Column, kind: str, key: str, undo: bool) -> Column:
+    """A string with its digits after the first ``fixed`` permuted in their places; what stands between does not count."""
+
+    def permuted(digits: Column) -> Column:
+        free = F.transform(F.filter(F.split(F.substring(digits, fixed + 1, F.length(digits)), ""), lambda c: c != ""), lambda c: c.cast("int"))
+        moved = _let(free, lambda v: feistel(v, F.transform(v, lambda _: F.lit(10)), kind, key, undo))
+
+        def placed(new: Column) -> Column:
+            at = lambda i: F.length(F.regexp_replace(F.substring(body, F.lit(1), i + 1), r"\D", "")) - 1 - fixed
+            return F.array_join(F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike(r"^\d$") & (at(i) >= 0), F.get(new, at(i)).cast("string")).otherwise(c)), "")
+
+        return _let(moved, placed)
+
+    return _let(F.regexp_replace(body, r"\D", ""), permuted)
+
+
 def _luhn(digits: Column, doubled: int) -> Column:
     """Luhn sum of a string of digits; ``doubled``: whether the last digit counts twice (1) or not (0)."""
 
@@ -79,7 +100,7 @@ def _luhn(digits: Column, doubled: int) -> Column:
 
 def _card(m: Column, key: str, undo: bool) -> Column:
     """All digits but the last permuted, the last set so that the Luhn sum is right again."""
-    body = _spelled(F.substring(m, F.lit(1), F.length(m) - 1), "card", key, undo)
+    body = _numbered(F.substring(m, F.lit(1), F.length(m) - 1), F.lit(0), "card", key, undo)
     return _let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn(F.regexp_replace(b, r"\D", ""), 1), F.lit(10)), F.lit(10)).cast("string")))
 
 
@@ -114,7 +135,8 @@ def _cards(m: Column, key: str, undo: bool) -> Column:
 
 def _ip(m: Column, key: str, undo: bool) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    return F.array_join(F.transform(feistel(octets, F.array(*[F.lit(256)] * 4), "ip", key, undo), lambda x: x.cast("string")), ".")
+    padded = m.rlike(r"(^|\.)0\d")
+    return F.array_join(F.transform(feistel(octets, F.array(*[F.lit(256)] * 4), "ip", key, undo), lambda x: F.when(padded, F.lpad(x.cast("string"), 3, "0")).otherwise(x.cast("string"))), ".")
 
 
 def _day(m: Column) -> Column:
@@ -145,7 +167,7 @@ def _date(m: Column, key: str, undo: bool) -> Column:
 def _kind(m: Column) -> Column:
     """What a match is, after validation; null if it is not valid."""
     digits = F.regexp_replace(m, r"\D", "")
-    octets = F.forall(F.split(m, r"\."), lambda x: x.try_cast("int") < 256)
+    octets = F.forall(F.split(m, r"\."), lambda x: x.try_cast("int") < 256) & (~m.rlike(r"(^|\.)0\d") | m.rlike(r"^\d{3}(\.\d{3}){3}$"))
     day = _day(m)
     return (
         F.when(m.contains("@"), F.lit("email"))
@@ -163,39 +185,48 @@ def _kind(m: Column) -> Column:
 
 def _pseudonym(m: Column, kind: Column, key: str, undo: bool) -> Column:
     dot = F.length(m) - F.instr(F.reverse(m), ".")
-    cc = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-])|\+\d|)", 1)
+    cc = F.when(m.startswith("+"), F.length(F.regexp_extract(F.regexp_replace(m, r"\D", ""), _COUNTRY, 1))).otherwise(0)
     return (
         F.when(kind == "email", F.concat(_spelled(F.substring(m, F.lit(1), dot), "email", key, undo), F.substring(m, dot + 1, F.length(m))))
         .when(kind == "key", F.concat(F.lit("AKIA"), _spelled(F.substring(m, 5, 64), "key", key, undo)))
-        .when(kind == "phone", F.concat(cc, _spelled(F.substring(m, F.length(cc) + 1, F.length(m)), "phone", key, undo)))
+        .when(kind == "phone", _numbered(m, cc, "phone", key, undo))
         .when(kind == "ip", _ip(m, key, undo))
         .when(kind == "date", _date(m, key, undo))
-        .when(kind == "ssn", F.concat(F.substring(m, 1, 1), _spelled(F.substring(m, 2, 64), "ssn", key, undo)))
+        .when(kind == "ssn", _numbered(m, F.lit(1), "ssn", key, undo))
         .when((kind == "secret") & m.rlike("(?i)^[0-9a-f]+$"), _spelled(m, "hex", key, undo, 6))
         .when(kind == "secret", _spelled(m, "secret", key, undo))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool = False) -> DataFrame:
     """``docs`` with validated e-mail addresses, phone numbers, IPv4 addresses, dates, card numbers, keys and secrets
     replaced by keyed permutations of the same format, and n_values, the number of such values.
 
-    Equal values get equal pseudonyms in every document. What fails its check (Luhn, octets, calendar) stays. Null
-    stays null with n_values 0. ``undo`` with the same key gives the values back (of ssn only where the pseudonym is
-    itself one that is issued, and of cards where no other part of their run of digits passes Luhn by chance). All other columns and all other text stay as they are.
+    Equal values get equal pseudonyms in every document, also where they are spelled otherwise: the separators of
+    cards and phone numbers, the country code before a national number, the order of a date, padded octets and the
+    case of addresses do not count. What fails its check (Luhn, octets, calendar) stays. ``undo`` with the same key
+    gives the values back; of ssn only where the pseudonym is itself one that is issued, of cards where no other part
+    of their run of digits passes Luhn by chance, of padded octets without their zeros if the pseudonym has none.
+
+    A null text stays null with n_values 0, as does an empty one. Whole texts are read; matching takes linear time.
+    Repeated rows give repeated rows, an empty table none. A column named n_values is replaced; all others stay.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
+    docs = docs.select(*without(docs, "n_values"))
+    found_, new_ = fresh(docs, "_p_found", "_p_new")
     found = F.when(text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), 0))
-    out = docs.withColumn("_p_found", F.transform(found, lambda m: _let(_kind(m), lambda k: _let(F.when(k == "card", _cards(m, key, undo)), lambda c: F.struct(m.alias("m"), F.when((k != "card") | (c["n"] > 0), k).alias("k"), c["out"].alias("c"), F.coalesce(c["n"], k.isNotNull().cast("int")).alias("n"))))))
-    out = out.withColumn("_p_new", F.when(F.exists("_p_found", lambda x: x["k"].isNotNull()), F.transform("_p_found", lambda x: F.when(x["k"] == "card", x["c"]).otherwise(_pseudonym(x["m"], x["k"], key, undo)))))
+    out = docs.withColumn(found_, F.transform(found, lambda m: _let(_kind(m), lambda k: _let(F.when(k == "card", _cards(m, key, undo)), lambda c: F.struct(m.alias("m"), F.when((k != "card") | (c["n"] > 0), k).alias("k"), c["out"].alias("c"), F.coalesce(c["n"], k.isNotNull().cast("int")).alias("n"))))))
+    out = out.withColumn(new_, F.when(F.exists(found_, lambda x: x["k"].isNotNull()), F.transform(found_, lambda x: F.when(x["k"] == "card", x["c"]).otherwise(_pseudonym(x["m"], x["k"], key, undo)))))
     parts = F.split(text, PATTERN, -1)
-    joined = _let(parts, lambda p: F.array_join(F.zip_with(p, F.concat("_p_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
-    names = [c for c in out.columns if c not in ("_p_found", "_p_new", "n_values")]
-    count = F.coalesce(F.aggregate("_p_found", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
-    count = F.when(F.col("_p_found").isNull(), F.lit(0).cast("long")).otherwise(count)
-    return out.select(*[F.when(F.col("_p_new").isNull(), text).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in names], count.alias("n_values"))
+    joined = _let(parts, lambda p: F.array_join(F.zip_with(p, F.concat(new_, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
+    count = F.coalesce(F.aggregate(found_, F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
+    return out.select(*[F.when(F.col(new_).isNull(), text).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias("n_values"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """With the key of the session setting ``spark.parchment.pii.key``; without one, as a trial, with a known key."""
+    key = spark.conf.get(KEY_SETTING, None) or TRIAL_KEY
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
