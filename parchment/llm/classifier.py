@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Labelled documents that the model is fitted on, in expectation; chosen by the hash of their id.
 SAMPLE = 4000
 #: Hashed features.
@@ -134,7 +136,11 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cells: int = CELLS) -> Model:
-    """Fit on about ``sample`` of the rated documents (ratings: id, grade), whole texts; a Poisson bound, so it may be broadcast."""
+    """Fit on about ``sample`` of the rated documents (ratings: id, grade), whole texts; a Poisson bound, so it may be broadcast.
+
+    The sample is chosen by the hash of ids, so a rerun fits the same model. Ratings of absent documents do not count,
+    nor do other columns. Without two grades in the sample every document is given the best grade.
+    """
     total = ratings.count()
     if not total:
         return fit_arrays(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), cells)
@@ -155,9 +161,13 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """``docs`` with expected_grade, p_good and kept (p_good >= ``keep``); null and empty texts are scored by their shape alone."""
+    """``docs`` with expected_grade, p_good and kept (p_good >= ``keep``); columns of these names are replaced.
+
+    Null and empty texts are scored by their shape alone; whole texts are read, however long. Equal texts get equal
+    scores; repeated rows give repeated rows, an empty table none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = without(docs, "expected_grade", "p_good", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -168,7 +178,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: float = K
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(expected), pa.array(good), pa.array(good >= keep)], names=[*names, "expected_grade", "p_good", "kept"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(run, f"{schema}, expected_grade double, p_good double, kept boolean")
+    return docs.select(*names).mapInArrow(run, f"{schema}, expected_grade double, p_good double, kept boolean")
 
 
 def trained(spark, sf_dir: str, docs: DataFrame | None = None) -> Model:

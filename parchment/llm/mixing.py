@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import checkpoint, fresh, lookup, without
 
 #: Without given weights a source weighs its rows to this power.
 TEMPERATURE = 0.5
 SEED = "mix-1"
 #: A mean over this is split into equal parts whose draws are added, which is again Poisson.
 PART = 32.0
+#: Rows that a task of the global shuffle has to sort, about.
+ROWS_PER_TASK = 20_000
 
 
 def _tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,28 +52,33 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, te
     return weighed.select("src", "n", (F.lit(n) * F.col("w") / F.lit(w) / F.col("n")).alias("mean"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float | None = None, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float | None = None, seed: str = SEED, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``docs`` with each row repeated a Poisson number of times, so that sources meet their weights on average.
 
     Adds copy_no (from 0), n_copies and mix_key, by which a row's place in the global shuffle is decided: rows are
-    dealt to partitions by its leading bits and sorted by it inside. The mean of a source is size x weight / rows of
-    the source; size is the number of rows without another wish. The draw depends on the seed and the id alone: a
-    rerun, and a repeated row, draws the same. A null source is a source of its own (weight zero among given
-    weights); null ids draw as one id. A table without rows gives none.
+    dealt to partitions by its leading bits and sorted by it inside; columns of these names are replaced. There are as
+    many partitions as ``rows_per_task`` asks for, and no fewer than the session's shuffle partitions. The mean of a
+    source is size x weight / rows of the source; size is the number of rows without another wish. The draw depends on
+    the seed and the id alone: a rerun, and a repeated row, draws the same. A null source is a source of its own
+    (weight zero among given weights); null ids draw as one id. Texts are not looked at. A table without rows gives none.
     """
+    docs = docs.select(*without(docs, "copy_no", "n_copies", "mix_key"))
     mean = rates(docs, source_col, weights, temperature, size)
+    src_, null_, n_, parts_, cdf_ = fresh(docs, "_mix_src", "_mix_null", "_mix_n", "_mix_parts", "_mix_cdf")
     parts = F.greatest(F.ceil(F.col("mean") / PART), F.lit(1)).cast("int")
     mean = mean.withColumn("parts", parts).withColumn("part_mean", F.col("mean") / F.col("parts"))
-    tables = mean.mapInPandas(_tables, "src string, n bigint, mean double, parts int, part_mean double, cdf array<double>").select(F.coalesce("src", F.lit("")).alias("_mix_src"), F.col("src").isNull().alias("_mix_null"), F.col("n").alias("_mix_n"), F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf"))
+    tables = checkpoint(mean.mapInPandas(_tables, "src string, n bigint, mean double, parts int, part_mean double, cdf array<double>"))
+    total = tables.agg(F.sum(F.col("n") * F.col("mean"))).first()[0] or 0
+    tables = tables.select(F.coalesce("src", F.lit("")).alias(src_), F.col("src").isNull().alias(null_), F.col("n").alias(n_), F.col("parts").alias(parts_), F.col("cdf").alias(cdf_))
     src = F.col(source_col).cast("string")
-    rows = docs.withColumn("_mix_src", F.coalesce(src, F.lit(""))).withColumn("_mix_null", src.isNull())
-    rows = lookup(rows, tables, ["_mix_src", "_mix_null"], "_mix_n", id_col)
+    rows = docs.withColumn(src_, F.coalesce(src, F.lit(""))).withColumn(null_, src.isNull())
+    rows = lookup(rows, tables, [src_, null_], n_, id_col)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(0), F.col("_mix_parts") - 1), lambda j: F.size(F.filter("_mix_cdf", lambda c: c < uniform(F.lit(seed), key, j.cast("string")))))
+    draws = F.transform(F.sequence(F.lit(0), F.col(parts_) - 1), lambda j: F.size(F.filter(cdf_, lambda c: c < uniform(F.lit(seed), key, j.cast("string")))))
     rows = rows.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
     rows = rows.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    rows = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), key, "copy_no")).drop("_mix_src", "_mix_null", "_mix_n", "_mix_parts", "_mix_cdf")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), key, "copy_no")).drop(src_, null_, n_, parts_, cdf_)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / rows_per_task))
     return rows.repartition(n, F.shiftright("mix_key", 44)).sortWithinPartitions("mix_key")
 
 

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, lookup
+from .common import WS, lookup, without
 
 #: Hash cells of the two multinomials; the table of ratios has as many doubles, whatever the input.
 CELLS = 1 << 14
@@ -102,8 +102,11 @@ def with_ratio(docs: DataFrame, ratios: list[float], text_col: str = "text") ->
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = CELLS) -> DataFrame:
     """``docs`` with the base statistics, log_ratio and kept: no base rule failed and log_ratio is ``threshold`` or more.
 
-    A text without any n-gram is not kept. Every document is judged, by its own text and corpus-wide counts alone.
+    A text without any n-gram is not kept. Every document is judged, by its own text and corpus-wide counts alone;
+    null and empty texts have no words and are not kept, long texts are read whole. Copies count as often as they
+    stand, in the counts too. Columns with names of results are replaced, all others stay. An empty table gives no rows.
     """
+    docs = docs.select(*without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"))
     ratios = log_ratios(docs, trusted, id_col, text_col, n)
     out = with_ratio(with_statistics(docs, text_col), ratios, text_col)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ratio") >= threshold, F.lit(False)))

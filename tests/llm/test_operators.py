@@ -40,7 +40,7 @@ def runs(spark, df):
     labels = spark.createDataFrame([(2, 0, 0), (4, 1, 0), (5, 1, 0), (6, 0, 1), (6, 1, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("id"))
     return {
-        "langid": langid.identify(df, langid.fit(df)), "simhash": simhash.near_duplicates(df), "exact": exact_dedup.exact_dedup(df), "mix": mixing.mix(df), "bpe": bpe.digests(df), "ids": bpe.encode(df), "rules": quality_rules.judge(df, trusted), "lm": lm_score.lm_scores(df, block=100), "pii": pii.pseudonymise(df),
+        "langid": langid.identify(df, langid.fit(df)), "simhash": simhash.near_duplicates(df), "exact": exact_dedup.exact_dedup(df), "mix": mixing.mix(df), "bpe": bpe.digests(df), "ids": bpe.encode(df), "rules": quality_rules.judge(df, trusted), "lm": lm_score.lm_scores(df, block=100), "pii": pii.pseudonymise(df, key="k"),
         "classifier": classifier.score(df, classifier.fit(df, classifier.graded(labels))), "kept": exact_dedup.drop_copies(df), "near": simhash.drop_near_copies(df),
     }
 
@@ -275,7 +275,7 @@ PERSONAL = "card 4111 1111 1111 1111, bad 4111111111111112; x@y.co.uk +1 (499) 5
 
 def test_pii_permutes_in_format(spark):
     df = spark.createDataFrame([(1, PERSONAL), (2, "again x@y.co.uk"), (3, "nothing here, 12 of 30 at 10.5 in 2024.")], "doc_id long, text string")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, key="k")
     got = {r.doc_id: r for r in out.collect()}
     assert got[3].text == "nothing here, 12 of 30 at 10.5 in 2024." and got[3].n_values == 0
     new = got[1].text
@@ -287,7 +287,7 @@ def test_pii_permutes_in_format(spark):
     assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
     assert re.search(r"\b\d{4}-02-29\b", new)
     assert re.search(r"\S+@\S+uk", new)[0] in got[2].text  # equal values stay linked
-    back = pii.pseudonymise(out.drop("n_values"), undo=True)
+    back = pii.pseudonymise(out.drop("n_values"), undo=True, key="k")
     assert {r.doc_id: r.text for r in back.collect()}[1] == PERSONAL
     other = pii.pseudonymise(df, key="another").where("doc_id = 1").first().text
     assert other != new
@@ -295,13 +295,13 @@ def test_pii_permutes_in_format(spark):
 
 def test_pii_is_a_permutation(spark):
     ips = spark.range(2000).select(F.concat_ws(".", F.lit("10.0"), (F.col("id") / 250).cast("int").cast("string"), (F.col("id") % 250).cast("string")).alias("text"))
-    out = pii.pseudonymise(ips)
+    out = pii.pseudonymise(ips, key="k")
     assert out.select("text").distinct().count() == 2000 and out.where("n_values != 1").count() == 0
 
 
 def test_pii_long_words_stay_linear(spark):
     df = spark.createDataFrame([("a" * 300_000,), ("1" * 100_000,), (" ".join(["1.2.3.4"] * 3000),)], "text string")
-    assert [r.n_values for r in pii.pseudonymise(df).collect()] == [0, 0, 3000]
+    assert [r.n_values for r in pii.pseudonymise(df, key="k").collect()] == [0, 0, 3000]
 
 
 def test_classifier_learns_grades():
