@@ -111,13 +111,14 @@ def viterbi(scores: np.ndarray, start: np.ndarray, switch: float) -> np.ndarray:
     total = scores.sum(0, dtype=np.float64) + start
     top = int(total.argmax())
     if n:
-        # No language beats the top one over all words. Else a path with m runs of others pays for m - 1 changes at
-        # least, and for m if it uses the top one too: it can only pay where a run gains half a change.
+        # No language beats the top one over all words. A path that uses the top one has as many changes as runs of
+        # others, so it pays only if some run gains a change. A path of m runs of others alone pays m - 1 changes;
+        # where no run gains one, its first and last run together have to.
         gain = np.cumsum(scores.astype(np.float64) - scores[:, [top]].astype(np.float64), axis=0)
         gain[:] += start - start[top]
         low = np.minimum.accumulate(np.vstack((np.zeros(k), gain[:-1])), axis=0)
         low = np.minimum(low, np.minimum(0, start - start[top]))
-        if (gain - low).max() < switch / 2:
+        if (gain - low).max() < switch and gain[:-1].max(initial=0.0) + (gain[-1] - low[-1]).max() < switch:
             return np.full(n, top, np.int32)
     rows, best, back = scores.tolist(), start.tolist(), []
     best = [x + y for x, y in zip(best, rows[0], strict=True)]
