@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +35,11 @@ def fold(text: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _MANY.items(), plain)
 
 
+def fold_table() -> dict[int, str]:
+    """What ``fold`` does, for str.translate."""
+    return {ord(c): k for k, v in _ONE.items() for c in v} | {ord(k): v for k, v in _MANY.items()}
+
+
 def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), lambda w: w != "")
 
@@ -89,12 +97,32 @@ def drop_urls(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\bwww\.\S+|https?://\S+", " ")
 
 
+def _sign(n: Column) -> Column:
+    """The letter of a numeric reference, by the rules of HTML: no zero, no surrogate, Windows letters at 128 to 159."""
+    windows = F.array(*[F.lit(unescape(f"&#{c};")) for c in range(128, 160)])
+    letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(n.isNull(), None).when(bad, F.lit("\ufffd")).when(n.between(128, 159), F.element_at(windows, (n - 127).cast("int"))).otherwise(letter)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numeric ones and all names that HTML knows, each up to its semicolon."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("long")
+        sign = F.when(name.startswith("#"), _sign(number)).when(name != "", F.try_element_at(names, name))
+        return F.when(sign.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(sign, F.substring(p, F.length(name) + 2, F.length(p))))
+
+    parts = F.split(text, "&", -1)
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """text nodes, trimmed, joined by a space; comments, scripts, styles and templates give none."""
     cut = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>|<!doctype[^>]*>|</?[a-z][^>]*>", "\x01")
-    for name, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("#39", "'"), ("amp", "&")):
-        cut = F.replace(cut, F.lit(f"&{name};"), F.lit(sign))
-    return F.array_join(F.filter(F.transform(F.split(cut, "\x01"), strip), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(unescaped(cut), "\x01"), strip), lambda x: x != ""), " ")
 
 
 def tagged(path: Column, text: Column) -> Column:

@@ -52,10 +52,34 @@ def budget(members: DataFrame, root: str, order: list[str], size: str, limits: L
 
 
 def renamed(paths: DataFrame, root: str, name: str, order: list[str]) -> DataFrame:
-    """Dest, the name with _1, _2, ... before its suffix from the second of a root on."""
-    n = F.row_number().over(W.partitionBy(root, name).orderBy(*order)) - 1
+    """Dest, the name with _1, _2, ... before its suffix where an earlier file of the root has it.
+
+    Only names that differ in such numbers can meet. Where a root has one name of a kind, its rows are counted;
+    where it has several, they are named one after the other, as an extraction does that looks before it writes.
+    """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
-    return paths.withColumn("dest", F.when(n > 0, F.concat(stem, F.lit("_"), n.cast("string"), ext)).otherwise(F.col(name)))
+    kind = F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), F.lit("\x00"), ext)
+    same = W.partitionBy(root, "_kind")
+    seen = paths.withColumn("_kind", kind).withColumn("_mixed", F.min(name).over(same) != F.max(name).over(same))
+    n = F.row_number().over(W.partitionBy(root, name).orderBy(*order)) - 1
+    plain = seen.where("not _mixed").withColumn("dest", F.when(n > 0, F.concat(stem, F.lit("_"), n.cast("string"), ext)).otherwise(F.col(name)))
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        used, dests, tried = set(), [], {}
+        for given in pdf[name]:
+            at, k = given, tried.get(given, 0)
+            while at in used:
+                k += 1
+                cut = given.rfind(".") if "." in given.rsplit("/", 1)[-1] else len(given)
+                at = f"{given[:cut]}_{k}{given[cut:]}"
+            tried[given] = k
+            used.add(at)
+            dests.append(at)
+        return pdf.assign(dest=dests)
+
+    mixed = seen.where("_mixed").groupBy(root, "_kind").applyInPandas(one_by_one, plain.schema)
+    return plain.unionByName(mixed).drop("_kind", "_mixed")
 
 
 def flattened(path: Column) -> Column:
@@ -196,14 +220,17 @@ def route(name: str, data: bytes, limits: Limits) -> Iterator[tuple[str, bytes |
         yield name, None, "format not supported"
 
 
-def explode(uploads: DataFrame, name: str = "filename", content: str = "content", limits: Limits | None = None) -> DataFrame:
-    """Root, member_no, path, content, reason; one task reads one archive at a time and never writes."""
+def explode(uploads: DataFrame, name: str = "filename", content: str = "content", limits: Limits | None = None, root: str | None = None) -> DataFrame:
+    """Root, member_no, path, content, reason; one task reads one archive at a time and never writes.
+
+    ``root`` is the column that tells uploads apart, the name if there is none.
+    """
     limits = limits or Limits()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for n, data in zip(pdf["n"], pdf["c"], strict=True):
-                rows = [(n, i, p, b, why) for i, (p, b, why) in enumerate(route(n, data or b"", limits))]
+            for r, n, data in zip(pdf["r"], pdf["n"], pdf["c"], strict=True):
+                rows = [(r, i, p, b, why) for i, (p, b, why) in enumerate(route(n, data or b"", limits))]
                 yield pd.DataFrame(rows, columns=["root", "member_no", "path", "content", "reason"])
 
-    return uploads.select(F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(run, "root string, member_no int, path string, content binary, reason string")
+    return uploads.select(F.col(root or name).alias("r"), F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(run, "root string, member_no int, path string, content binary, reason string")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,7 +15,7 @@ from pyspark.sql.types import StringType
 from parchment.functions import text as T
 
 WINDOW, STEP, MIN_CIPHER, MIN_FRAGMENT = 400, 200, 80, 60
-#: Above this many words a lexicon is joined by shuffle, below it is broadcast.
+#: Above this many words a lexicon is joined by shuffle; up to it each worker has it as a set and nothing is shuffled.
 BROADCAST_WORDS = 1_000_000
 
 
@@ -67,30 +70,96 @@ def folded(word: Column) -> Column:
     return T.fold(F.lower(word))
 
 
-def with_hits(words: DataFrame, lexicon: DataFrame, column: str, small: bool) -> DataFrame:
-    """``words`` with hit: whether the folded ``column`` is in ``lexicon`` (word)."""
+def with_hits(words: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
+    """``words`` with hit: whether the folded ``column`` is in ``lexicon`` (word), which may be of any size."""
     known = lexicon.select(F.col("word").alias("_w")).distinct().withColumn("hit", F.lit(True))
-    known = F.broadcast(known) if small else known
     return words.join(known, folded(F.col(column)) == F.col("_w"), "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("_w")
 
 
-def fits(lexicon: DataFrame) -> bool:
-    """Whether a lexicon is small enough to broadcast, by counting no further than the limit."""
-    return lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+def _small(lexicon: DataFrame) -> frozenset[str] | None:
+    """The words of a lexicon that has no more than BROADCAST_WORDS, else None."""
+    words = lexicon.select("word").where("word is not null").distinct().limit(BROADCAST_WORDS + 1).toPandas()["word"]
+    return frozenset(words) if len(words) <= BROADCAST_WORDS else None
+
+
+class _Known:
+    """Whether tokens, once folded, are in a set of words; remembers what it was asked."""
+
+    def __init__(self, words: frozenset[str]) -> None:
+        self.words, self.seen, self.table = words, {}, T.fold_table()
+
+    def __call__(self, tok: str) -> bool:
+        hit = self.seen.get(tok)
+        if hit is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            hit = self.seen[tok] = tok.lower().translate(self.table) in self.words
+        return hit
+
+
+def _windows(n: int) -> range:
+    return range(0, max(0, n - WINDOW) + 1, STEP)
+
+
+def _by_document(docs: DataFrame, key: str, columns: list[Column], known: frozenset[str], schema: str, judge: Callable) -> DataFrame:
+    """One Arrow pass without a shuffle: ``judge`` sees the token arrays of one document at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    given = docs.select(F.col(key), *[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"double": pa.float64(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = _Known(shared.value)
+        for batch in batches:
+            rows = [judge(hit, *x) for x in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)]], names=[key, *[n for n, _ in fields]])
+
+    return given.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+
+
+def _fragmented(hit: _Known, toks: list[str]) -> tuple[float, bool]:
+    score, flag = 0.0, False
+    for at in _windows(len(toks)):
+        seg = toks[at : at + WINDOW]
+        two = [t for t in seg if len(t) == 2]
+        if two and sum(map(hit, two)) / len(two) >= 0.6:
+            score, flag = max(score, len(two) / len(seg)), flag or len(two) / len(seg) >= 0.5
+    return score, flag
+
+
+def _ciphered(hit: _Known, toks: list[str], tails: list[str | None]) -> tuple[float, bool]:
+    score, flag = 0.0, False
+    bad = [x is not None and not (len(x) >= 3 and hit(x)) for x in tails]
+    known = [hit(t) for t in toks] if any(bad) else []
+    for at in _windows(len(toks)):
+        if not any(bad[at : at + WINDOW]):
+            continue
+        size = len(toks[at : at + WINDOW])
+        of = Counter(t.lower() for t, b in zip(toks[at : at + WINDOW], bad[at : at + WINDOW], strict=True) if b)
+        n = of.total()
+        if len(of) >= 0.3 * n and max(of.values()) <= 0.4 * n:
+            rate, share = n / size, sum(known[at : at + WINDOW]) / size
+            score = max(score, rate)
+            flag = flag or rate >= 0.05 and share < 0.72 or 0.035 <= rate < 0.05 and share < 0.55
+    return score, flag
 
 
 def dict_rate(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q14: key, rate; repeated tokens count as often as they stand, no token gives zero."""
+    if (words := _small(lexicon)) is not None:
+        return _by_document(docs, key, [F.col(toks)], words, "rate double", lambda hit, x: (sum(map(hit, x)) / len(x) if x else 0.0,))
     words = docs.select(key, F.explode_outer(toks).alias("tok")).groupBy(key, "tok").agg(F.count("tok").alias("n"))
-    hit = with_hits(words, lexicon, "tok", fits(lexicon))
+    hit = with_hits(words, lexicon, "tok")
     return hit.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate"))
 
 
 def fragments(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q8f: key, score, flag for documents with windows: the worst share of two-letter tokens that are mostly words."""
+    if (words := _small(lexicon)) is not None:
+        return _by_document(docs.where(F.size(toks) >= MIN_FRAGMENT), key, [F.col(toks)], words, "score double, flag boolean", _fragmented)
     w = windows(docs, key, toks, MIN_FRAGMENT)
     two = w.select(key, "start", F.size("seg").alias("n"), F.explode_outer(F.filter("seg", lambda t: F.length(t) == 2)).alias("tok"))
-    two = with_hits(two.groupBy(key, "start", "n", "tok").agg(F.count("tok").alias("m")), lexicon, "tok", fits(lexicon))
+    two = with_hits(two.groupBy(key, "start", "n", "tok").agg(F.count("tok").alias("m")), lexicon, "tok")
     per = two.groupBy(key, "start", "n").agg(F.sum("m").alias("two"), F.sum(F.when(F.col("hit"), F.col("m")).otherwise(0)).alias("hits"))
     ratio, rate = F.col("two") / F.col("n"), F.coalesce(F.col("hits") / F.nullif(F.col("two"), F.lit(0)), F.lit(0.0))
     return per.groupBy(key).agg(F.coalesce(F.max(F.when(rate >= 0.6, ratio)), F.lit(0.0)).alias("score"), F.bool_or((ratio >= 0.5) & (rate >= 0.6)).alias("flag"))
@@ -98,13 +167,15 @@ def fragments(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataF
 
 def ciphers(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q8: key, score, flag for documents with windows: the worst share of tokens that a substitution has deformed."""
-    small = fits(lexicon)
+    if (words := _small(lexicon)) is not None:
+        tails = F.transform(toks, lambda t: F.when(is_cipher(t) & ~is_glued(t), cipher_tail(t)))
+        return _by_document(docs.where(F.size(toks) >= MIN_CIPHER), key, [F.col(toks), tails], words, "score double, flag boolean", _ciphered)
     w = windows(docs, key, toks, MIN_CIPHER)
     words = w.select(key, "start", F.size("seg").alias("size"), F.explode("seg").alias("tok")).groupBy(key, "start", "size", "tok").agg(F.count(F.lit(1)).alias("n"))
-    words = with_hits(words, lexicon, "tok", small)
+    words = with_hits(words, lexicon, "tok")
     tail = cipher_tail(F.col("tok"))
     marked = words.withColumn("bad", is_cipher(F.col("tok")) & ~is_glued(F.col("tok"))).withColumn("tail", F.when(F.col("bad") & (F.length(tail) >= 3), tail)).withColumnRenamed("hit", "known")
-    marked = with_hits(marked, lexicon, "tail", small).withColumn("bad", F.col("bad") & ~F.col("hit"))
+    marked = with_hits(marked, lexicon, "tail").withColumn("bad", F.col("bad") & ~F.col("hit"))
     per = marked.groupBy(key, "start", "size", F.lower("tok").alias("low")).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known"))
     per = per.groupBy(key, "start", "size").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.count_if(F.col("bad") > 0).alias("kinds"), F.max("bad").alias("top"))
     counts = (F.col("bad") > 0) & (F.col("kinds") >= 0.3 * F.col("bad")) & (F.col("top") <= 0.4 * F.col("bad"))
@@ -113,7 +184,7 @@ def ciphers(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFra
     return per.groupBy(key).agg(F.max(rate).alias("score"), F.bool_or(flag).alias("flag"))
 
 
-def broken(docs: DataFrame, key: str, text: str, lexicon: DataFrame, fold: bool = False) -> DataFrame:
+def broken(docs: DataFrame, key: str, text: str, lexicon: DataFrame, fold: bool = True) -> DataFrame:
     """Q9: key, broken, cause (encoded, cipher, fragmented, or null); one row for each key. Null text is not broken."""
     plain = T.drop_urls(nfkc(F.col(text)) if fold else F.col(text))
     t = docs.select(key, T.encoded_glyphs(F.col(text)).alias("encoded"), T.tokens(plain).alias("toks"))

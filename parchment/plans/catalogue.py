@@ -72,9 +72,10 @@ def meaningful_text_filter(spark, d):
 _HTML = r"array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(html,'(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>|<!doctype[^>]*>|</?[a-z][^>]*>',chr(1),'g'),'&quot;','\"'),'&lt;','<'),'&gt;','>'),'&copy;','©'),'&middot;','·'),'&amp;','&'),chr(1)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x <> ''), ' ')".replace('\\"', '"')
 
 
-@query(f"SELECT page_id, {_HTML} AS text FROM pages")
+@query(f"SELECT page_id, {_HTML} || ' café é ''… &lt; ∉ € & &nope; #' AS text FROM pages")
 def html_to_text(spark, d):
-    return read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+    more = F.lit("<p>caf&eacute; &#233; &#x27;&hellip; &amp;lt; &notin; &#128; & &nope; #</p>")
+    return read(spark, d, "pages").select("page_id", T.html_text(F.concat("html", more)).alias("text"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s'))::BIGINT AS n_links, len(regexp_extract_all(html, '(?i)<p>'))::BIGINT AS n_paragraphs FROM pages")
@@ -504,10 +505,12 @@ def structured_files(spark, d):
     return S.structured(f)
 
 
-@query()
+@query("""SELECT 'f' || p_partkey % 50 || '.zip' AS filename, 'file_path_pwd:"a.txt"' || chr(10) || p_name || chr(10) || chr(10) || 'file_path_pwd:"b/c.txt"' || chr(10) || p_partkey AS text, '../evil.txt: unsafe path' AS skipped FROM part""")
 def upload_text(spark, d):
     z = _parts(spark, d).select("p_partkey", "p_name").mapInPandas(_zipped(lambda k, n: {"b/c.txt": k, "a.txt": n, "../evil.txt": "x"}), "id bigint, content binary")
-    return S.upload_texts(z.select(F.concat(F.lit("x/f"), F.col("id").cast("string"), F.lit(".zip")).alias("filename"), "content")).withColumn("skipped", F.array_join("skipped", ";"))
+    # Fifty base names in many folders: each upload keeps to its own members.
+    name = F.concat_ws("", F.col("id").cast("string"), F.lit("/f"), (F.col("id") % 50).cast("string"), F.lit(".zip"))
+    return S.upload_texts(z.select(name.alias("filename"), "content")).withColumn("skipped", F.array_join("skipped", ";"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN 'corrupt_unrecoverable' WHEN doc_id % 4 = 0 THEN 'recovered' ELSE 'clean' END AS status, CASE WHEN doc_id % 8 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'ocr' ELSE 'pypdf' END AS engine, CASE WHEN doc_id % 8 = 0 THEN 'throttled' ELSE '' END AS ocr_error FROM documents""")

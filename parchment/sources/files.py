@@ -29,18 +29,20 @@ def folder_texts(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE) ->
 
 
 def upload_texts(uploads: DataFrame, limits: Limits | None = None, max_bytes: int = MAX_FILE) -> DataFrame:
-    """One row for each upload: filename, text, skipped. Rows are (filename, content)."""
-    named = uploads.withColumn("filename", T.safe_filename(F.col("filename")))
+    """One row for each upload: filename, text, skipped. Rows are (filename, content).
+
+    Each upload gets a number first and is known by it from then on, so uploads of one name stay apart.
+    """
+    named = uploads.select(T.safe_filename(F.col("filename")).alias("filename"), "content", F.monotonically_increasing_id().cast("string").alias("root"))
     fits = F.coalesce(F.length("content") <= max_bytes, F.lit(True))
-    members = explode(named.where(fits & (F.length("content") > 0)), limits=limits)
+    members = explode(named.where(fits & (F.length("content") > 0)), limits=limits, root="root")
     read = D.decode(members.where("reason is null").select(F.to_json(F.struct("root", "member_no", "path")).alias("key"), F.col("path").alias("p"), "content").withColumn("kp", F.concat_ws("\x00", "key", "p")), "kp")
     key = F.from_json(F.substring_index("path", "\x00", 1), "root string, member_no int, path string")
     read = read.select(key.alias("k"), "text").where(T.has_meaning(F.col("text"))).select("k.*", T.tagged(F.col("k.path"), F.col("text")).alias("t"))
     texts = read.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(T.walk_key(F.col("path")).alias("w"), "member_no", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
     gone = members.where("reason is not null").groupBy("root").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "reason"))).alias("skipped"))
-    large = named.where(~fits).select(F.col("filename").alias("root"), F.array(F.lit("file too large")).alias("too_large"))
-    out = named.select(F.col("filename").alias("root")).join(texts, "root", "left").join(gone, "root", "left").join(large, "root", "left")
-    return out.select(F.col("root").alias("filename"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("too_large", "skipped", F.array().cast("array<string>")).alias("skipped"))
+    out = named.select("root", "filename", F.when(~fits, F.array(F.lit("file too large"))).alias("too_large")).join(texts, "root", "left").join(gone, "root", "left")
+    return out.select("filename", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("too_large", "skipped", F.array().cast("array<string>")).alias("skipped"))
 
 
 def table_blocks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
