@@ -12,6 +12,8 @@ WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds over one in so many rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: Groups of a lookup that are broadcast as a whole at most: a few bytes each, a few thousand where they are wide.
+FEW = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,18 +67,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")
 
 
-def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tie: str) -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tie: str, few: int = FEW) -> DataFrame:
     """``rows`` left joined to ``groups``, which has one row for each key and in ``count`` its number of rows.
 
-    Keys over 1/1000 of all counted rows are fewer than 1000, whatever the input: they are broadcast. Their rows
+    Up to ``few`` groups are broadcast. Of more, keys over 1/1000 of all counted rows are fewer than 1000, whatever the input: they are broadcast. Their rows
     are then spread over salts by the hash of ``tie`` and of the partition they come from, so the shuffled join of all
     the others has no hot key. Null keys match nothing. ``groups`` is read three times. Columns of ``groups`` that
     ``rows`` has already stay behind.
     """
     hot_, cold_, salt_ = fresh(rows, "_hot", "_cold", "_salt")
     carried = [c for c in groups.columns if c not in keys and c not in rows.columns]
-    total = groups.agg(F.sum(count)).first()[0] or 0
-    cut = max(total // HOT_SHARE, 1)
+    total, n = groups.agg(F.sum(count), F.count(F.lit(1))).first()
+    if n <= few:
+        return rows.join(F.broadcast(groups.select(*keys, F.struct(*[groups[c] for c in carried]).alias(hot_))), keys, "left").select(*rows.columns, *[F.col(hot_)[c].alias(c) for c in carried])
+    cut = max((total or 0) // HOT_SHARE, 1)
     hot = groups.where(F.col(count) > cut).select(*keys, F.struct(*[groups[c] for c in carried]).alias(hot_))
     # The salt of the others is zero, but not a constant: a constant would leave the keys of the join.
     cold = groups.where(F.col(count) <= cut).select(*keys, F.least(F.lit(0).cast("long"), F.col(count)).alias(salt_), F.struct(*[groups[c] for c in carried]).alias(cold_))
@@ -95,6 +99,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: Marks of rows that are broadcast at most, some 60 bytes each; more meet the rows in a shuffle.
+MARKS = 1 << 18
+
+
 def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with one row of each group: that of the least id (null is the greatest), of these the least text_key.
 
@@ -110,7 +118,7 @@ def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     marks = judged.where("n > 1 or not stays").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(name), F.col("id").isNull().alias(null), F.col("key").alias(key))
     marks = checkpoint(marks.agg(F.max("stays").alias(stays), F.max("n").alias("n")))
     rows = docs.withColumns({name: F.coalesce(F.col(id_col).cast("string"), F.lit("")), null: F.col(id_col).isNull(), key: text_key(F.col(text_col))})
-    found = lookup(rows, marks.withColumnRenamed("n", fresh(rows, "_one_n")[0]), [name, null, key], fresh(rows, "_one_n")[0], key)
+    found = lookup(rows, marks.withColumnRenamed("n", fresh(rows, "_one_n")[0]), [name, null, key], fresh(rows, "_one_n")[0], key, MARKS)
     left = found.where(F.col(stays).isNull())
     if not marks.where(stays).isEmpty():
         left = left.unionByName(found.where(stays).dropDuplicates([name, null, key]))

@@ -154,10 +154,11 @@ def test_exact_prefix_is_refined(spark):
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
 
 
-def test_hot_key_lookup(spark):
+@pytest.mark.parametrize("few", [0, common.FEW])
+def test_hot_key_lookup(spark, few):
     rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"))
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
-    out = common.lookup(rows, groups, ["k"], "n", "id")
+    out = common.lookup(rows, groups, ["k"], "n", "id", few)
     assert out.count() == 30_000 and out.where("lo is null").count() == 0
     assert out.join(groups.select("k", F.col("lo").alias("lo2")), "k").where("lo != lo2").count() == 0
 
