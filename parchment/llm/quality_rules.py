@@ -15,6 +15,8 @@ CELLS = 1 << 14
 #: Mean log ratio per n-gram from which a document stays.
 THRESHOLD = 0.0
 WINDOW = 5
+#: Trusted ids that are broadcast at most (some 16 bytes each); more meet the texts in a shuffle.
+FEW_TRUSTED = 1 << 20
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 
 
@@ -80,7 +82,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     often chance would have shown it. Without trusted text all ratios are zero.
     """
     chosen = trusted.where("id is not null").groupBy("id").agg(F.lit(1).alias("_q_trusted"), F.count(F.lit(1)).alias("_q_rows"))
-    marked = lookup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, ["id"], "_q_rows", "text")
+    marked = lookup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, ["id"], "_q_rows", "text", FEW_TRUSTED)
     rows = marked.select("_q_trusted", F.explode(cells(F.col("text"), n)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("_q_trusted").alias("good")).collect()
     raw, good = [0] * n, [0] * n
     for cell, r, g in rows:
