@@ -61,3 +61,44 @@ def test_many_keys_meet_in_a_shuffle(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = (sorted(map(tuple, exact_dedup.exact_dedup(docs, few=n).collect())) for n in (0, 1 << 20))
     assert a == b
+
+
+@pytest.mark.parametrize("turns", [1, 0])
+def test_crowds_lose_no_link(spark, monkeypatch, turns):
+    """Chains of edits, in which only neighbours are near: a band value of many texts gives the components of all pairs."""
+    monkeypatch.setattr(near_copies, "TURNS", turns, raising=False)
+    monkeypatch.setattr(near_copies, "ROUND", 1, raising=False)  # how many texts of a crowd the earlier code held at a time
+    rng = random.Random(3)
+    rows = []
+    for _ in range(4):
+        chain = [[f"{rng.choice('abcdefgh')}{rng.randrange(50)}" for _ in range(120)]]
+        for _ in range(25):
+            chain.append(edited(rng, chain[-1], 2).split())
+        rows += [" ".join(c) for c in chain]
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for t in rows]
+    root = [*range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    found = near_copies.near_copies(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string"), dense=2, pivots=1).collect()
+    least = {}
+    for r in found:
+        least[r.g] = min(least.get(r.g, r.id), r.id)
+    got = {r.id: least[r.g] for r in found}
+    assert [got.get(i, i) for i in range(len(rows))] == root
+    assert len({*root}) < len(rows) / 5
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_tiles_hold_all_pairs(spark, tile):
+    rng = random.Random(4)
+    # Sketches that differ in few places of four bits; sizes over several classes; two texts of a component now and then.
+    texts = [(k, k * 1000 + i, rng.randrange(60, 200), [rng.getrandbits(2) << 4 * rng.randrange(15) for _ in range(7)], rng.randrange(30)) for k in (1, 2) for i in range(90)]
+    df = spark.createDataFrame(texts, "key long, node long, size int, sketch array<long>, label long")
+    a, b = (F.struct(*[F.col(f"{x}.{c}") for c in ("size", "sketch")]) for x in "ab")
+    want = df.alias("a").join(df.alias("b"), F.expr("a.key = b.key and a.node < b.node and a.label != b.label")).where(near_copies.may_be_near(a, b, 0.8)).selectExpr("a.node a", "b.node b")
+    want = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, near_copies.tiles(df, 0.8, tile).collect())) == want and len(want) > 1000
