@@ -17,7 +17,8 @@ THRESHOLD = 0.0
 WINDOW = 5
 #: Trusted ids that are broadcast at most (some 16 bytes each); more meet the texts in a shuffle.
 FEW_TRUSTED = 1 << 20
-_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
+#: Lower-case ASCII first and without backtracking: the same tokens, found faster.
+_TOKEN = r"[a-z0-9_\p{L}\p{N}]++|[^\p{L}\p{N}_\x20\x09-\x0D]++"
 
 
 def _let(value: Column, body) -> Column:
@@ -44,7 +45,8 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(_let(placed, alike), spread))
 
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+    # Each word is hashed once, and windows as runs of these hashes.
+    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, width))))
     return _let(hashes, covered).cast("long")
 
 
