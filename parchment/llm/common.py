@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether Spark removes the shuffle files of a query when it ends; read when the query's DataFrame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries made inside are removed when these end, not when the driver collects its garbage.
+
+    For long rows of checkpoints and counts. A DataFrame made inside may be part of others at any time, but itself
+    should run once: a second run would have to write its shuffle files again. Spark before 4.1 ignores it.
+    """
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, in whatever case."""
     taken = {c.lower() for c in df.columns}
@@ -125,12 +151,30 @@ def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     return left.select(*docs.columns)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _components_here(edges: pa.Table) -> pa.Table:
+    """``components`` of edges in memory: larger roots are hung below smaller ones until no edge has two."""
+    nodes, at = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
+    a, b = at[: len(edges)], at[len(edges) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return pa.table({"node": nodes, "root": nodes[root]})
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint) as (node, root), root the least node; isolated nodes are absent.
 
     Alternates large-star and small-star rounds until the edges stand still; each round is cut by a checkpoint.
-    Hubs are joined through ``lookup``.
+    Hubs are joined through ``lookup``. Up to ``few`` edges (16 bytes each) are brought to the driver and joined there,
+    which spares some dozens of stages; ``edges`` is read twice then and should be a checkpoint.
     """
+    if few and edges.count() <= few:
+        proper = edges.where(F.col("a") != F.col("b")).select("a", "b")
+        return edges.sparkSession.createDataFrame(_components_here(proper.toArrow()), "node bigint, root bigint")
 
     def star(directed: DataFrame, larger_only: bool) -> DataFrame:
         least = directed.groupBy("a").agg(F.min("b").alias("lo"), F.count(F.lit(1)).alias("n")).withColumn("lo", F.least("lo", "a"))

@@ -1,11 +1,12 @@
 """The near-copy stage against all pairs in plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.llm import exact_dedup, near_copies, simhash
+from parchment.llm import common, exact_dedup, near_copies, simhash
 
 
 def edited(rng, words, n):
@@ -102,3 +103,39 @@ def test_tiles_hold_all_pairs(spark, tile):
     want = df.alias("a").join(df.alias("b"), F.expr("a.key = b.key and a.node < b.node and a.label != b.label")).where(near_copies.may_be_near(a, b, 0.8)).selectExpr("a.node a", "b.node b")
     want = sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, near_copies.tiles(df, 0.8, tile).collect())) == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("links", [1 << 18, 0])
+def test_shuffle_files_do_not_pile_up(spark, monkeypatch, links):
+    """Dozens of shuffles are over when the last begins; their files stayed until the driver collected its garbage."""
+    monkeypatch.setattr(near_copies, "FEW_LINKS", links, raising=False)
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName().split("_") for i in range(files.size())]
+        return {n[1] for n in names if n[0] == "shuffle"}
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(20)]
+    rows = [*enumerate(edited(rng, b, 1) for b in base for _ in range(3))]
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    earlier = shuffles()
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), dense=2, pivots=1)
+    until = time.time() + 20
+    while len(left := shuffles() - earlier) > 3 and time.time() < until:
+        time.sleep(0.5)
+    assert len(left) <= 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert found.count() == 60 and found.select("g").distinct().count() == 20
+
+
+def test_components_on_the_driver_are_the_same(spark):
+    rng = random.Random(6)
+    path = [*range(0, 400, 2), *range(399, 0, -2)]
+    edges = [*zip(path, path[1:]), *((rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(180)), (-5, 2000), (2000, -(1 << 63)), (7, 7), (3000, 3000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(map(tuple, common.components(df).collect()))
+    for few in (len(edges), len(edges) - 1):
+        assert sorted(map(tuple, common.components(df, few).collect())) == want
+    assert len({r for _, r in want}) > 10 and (2000, -(1 << 63)) in want and (399, 0) in want
+    assert common.components(df.limit(0), 9).collect() == [] == common.components(df.where("a = b"), 9).collect()
