@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, strip
+from .text import one_space, strip
 
 MATRIX = "array<array<string>>"
 
@@ -29,7 +29,7 @@ def filled(row: Column) -> Column:
 
 def padded(rows: Column) -> Column:
     """Trimmed cells, all rows of one width."""
-    return let(width(rows), lambda w: F.transform(rows, lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), w - F.size(r)))))
+    return let(rows, lambda x: let(width(x), lambda w: F.transform(x, lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), w - F.size(r))))))
 
 
 def nulled(rows: Column) -> Column:
@@ -56,7 +56,7 @@ def drop_empty(rows: Column) -> Column:
 
 def _joined(group: Column) -> Column:
     """Rows of one width joined column by column with a space, empty cells left out."""
-    return F.transform(F.get(group, F.lit(0)), lambda _, j: F.array_join(F.filter(F.transform(group, lambda r: F.get(r, j)), lambda c: c != ""), " "))
+    return let(group, lambda g: F.transform(F.get(g, F.lit(0)), lambda _, j: F.array_join(F.filter(F.transform(g, lambda r: F.get(r, j)), lambda c: c != ""), " ")))
 
 
 def collapse_header(rows: Column, most: int = 6) -> Column:
@@ -73,7 +73,7 @@ def collapse_header(rows: Column, most: int = 6) -> Column:
         count = F.aggregate(F.slice(p, 2, most - 1), start, lambda a, r: F.when(a["stop"] | ends(r), F.struct(a["k"].alias("k"), F.lit(True).alias("stop"))).otherwise(F.struct((a["k"] + 1).alias("k"), (filled(r) > limit).alias("stop"))), lambda a: a["k"])
         return let(count, lambda k: F.concat(F.array(_joined(F.slice(p, F.lit(1), k))), F.slice(p, k + 1, F.size(p))))
 
-    return F.when(F.size(rows) > 0, nulled(let(padded(rows), lambda p: F.when(F.size(p) < 2, p).otherwise(fold(p))))).otherwise(rows)
+    return let(rows, lambda x: F.when(F.size(x) > 0, nulled(let(padded(x), lambda p: F.when(F.size(p) < 2, p).otherwise(fold(p))))).otherwise(x))
 
 
 def merge_continuations(rows: Column) -> Column:
@@ -84,7 +84,7 @@ def merge_continuations(rows: Column) -> Column:
         starts = F.filter(F.transform(opens, lambda o, i: F.when(o, i + 1)), lambda i: i.isNotNull())
         return let(starts, lambda s: F.transform(s, lambda a, n: _joined(F.slice(p, a, F.coalesce(F.get(s, n + 1), F.size(p) + 1) - a))))
 
-    return F.when(F.size(rows) > 0, nulled(let(padded(rows), fold))).otherwise(rows)
+    return let(rows, lambda x: F.when(F.size(x) > 0, nulled(let(padded(x), fold))).otherwise(x))
 
 
 def normalize(rows: Column, collapse_headers: bool = True, continuations: bool = True) -> Column:
@@ -99,9 +99,10 @@ def word_splits(rows: Column) -> Column:
     """Struct of ratio (null without a sample) and sample: how many neighbouring cells cut a word."""
 
     def of_row(r: Column) -> Column:
-        pairs = F.filter(F.zip_with(F.transform(r, cell), F.transform(F.slice(r, 2, F.size(r)), cell), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: (p["a"] != "") & p["b"].isNotNull() & (p["b"] != ""))
-        cut = F.filter(pairs, lambda p: p["a"].rlike("[A-Za-zÀ-ÿ]$") & p["b"].rlike("^[A-Za-zÀ-ÿ]"))
-        return F.struct(F.size(cut).alias("cut"), F.size(pairs).alias("n"))
+        after = lambda t, i: F.get(t, i + 1)  # noqa: E731  null behind the last cell
+        n = lambda t: F.size(F.filter(t, lambda c, i: (c != "") & (after(t, i) != "")))
+        cut = lambda t: F.size(F.filter(t, lambda c, i: after(t, i).rlike("^[A-Za-zÀ-ÿ]") & F.substring(c, -1, 1).rlike("[A-Za-zÀ-ÿ]")))
+        return let(F.transform(r, cell), lambda t: F.struct(cut(t).alias("cut"), n(t).alias("n")))
 
     sums = F.aggregate(F.transform(rows, of_row), F.struct(F.lit(0).alias("cut"), F.lit(0).alias("n")), lambda a, x: F.struct((a["cut"] + x["cut"]).alias("cut"), (a["n"] + x["n"]).alias("n")))
     return let(sums, lambda s: F.struct(F.when(s["n"] > 0, s["cut"] / s["n"]).alias("ratio"), s["n"].alias("sample")))
@@ -111,11 +112,11 @@ def meaningful(rows: Column, min_cols: int = 2, min_rows: int = 2, min_filled: i
     """A table, and not a box of text."""
 
     def judge(full: Column) -> Column:
-        cells = F.aggregate(F.transform(full, filled), F.lit(0), lambda a, x: a + x)
+        enough = let(F.transform(full, filled), lambda n: (F.aggregate(n, F.lit(0), lambda a, x: a + x) >= min_filled) & F.exists(n, lambda x: x >= 2))
         cut = let(word_splits(full), lambda s: (s["sample"] >= min_sample) & (F.coalesce(s["ratio"], F.lit(0.0)) > max_ratio))
-        return (width(rows) >= min_cols) & (F.size(full) >= min_rows) & (cells >= min_filled) & F.exists(full, lambda r: filled(r) >= 2) & ~cut
+        return (F.size(full) >= min_rows) & enough & ~cut
 
-    return F.coalesce(let(drop_empty(rows), judge), F.lit(False))
+    return F.coalesce(let(rows, lambda x: (width(x) >= min_cols) & let(drop_empty(x), judge)), F.lit(False))
 
 
 def signature(rows: Column) -> Column:
@@ -128,15 +129,18 @@ def signature(rows: Column) -> Column:
 def markdown(rows: Column, header: bool = True) -> Column:
     """K1."""
 
-    def render(w: Column) -> Column:
-        even = F.transform(rows, lambda r: F.concat(F.transform(r, lambda c: F.replace(strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " ")), F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), w - F.size(r))))
-        lines = F.transform(even, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
+    def line(r: Column, w: Column) -> Column:
+        even = F.concat(F.transform(r, lambda c: F.replace(strip(one_space(F.coalesce(c, F.lit("")))), F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), w - F.size(r)))
+        return F.concat(F.lit("| "), F.array_join(even, " | "), F.lit(" |"))
+
+    def render(x: Column, w: Column) -> Column:
         rule = F.array(F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), w), " | "), F.lit(" |")))
         names = F.array(F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), w), lambda i: F.concat(F.lit("Col "), i.cast("string"))), " | "), F.lit(" |")))
-        all_lines = F.concat(F.slice(lines, 1, 1), rule, F.slice(lines, 2, F.size(lines))) if header else F.concat(names, rule, lines)
+        lines = F.transform(x, lambda r: line(r, w))
+        all_lines = let(lines, lambda l: F.concat(F.slice(l, 1, 1), rule, F.slice(l, 2, F.size(l)))) if header else F.concat(names, rule, lines)
         return F.when(w > 0, F.array_join(all_lines, "\n")).otherwise("")
 
-    return F.coalesce(let(width(rows), render), F.lit(""))
+    return F.coalesce(let(rows, lambda x: let(width(x), lambda w: render(x, w))), F.lit(""))
 
 
 def page_block(md: Column, page: Column, index: Column) -> Column:
@@ -153,11 +157,11 @@ def html(rows: Column) -> Column:
             c = F.replace(c, F.lit(sign), F.lit(name))
         return F.concat(F.lit("<td>"), c, F.lit("</td>"))
 
-    def render(w: Column) -> Column:
-        lines = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, escaped), ""), F.repeat(F.lit("<td></td>"), w - F.size(r)), F.lit("</tr>")))
+    def render(x: Column, w: Column) -> Column:
+        lines = F.transform(x, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, escaped), ""), F.repeat(F.lit("<td></td>"), w - F.size(r)), F.lit("</tr>")))
         return F.when(w > 0, F.concat(F.lit("<table>\n"), F.array_join(lines, "\n"), F.lit("\n</table>"))).otherwise("")
 
-    return F.coalesce(let(width(rows), render), F.lit(""))
+    return F.coalesce(let(rows, lambda x: let(width(x), lambda w: render(x, w))), F.lit(""))
 
 
 def comment(source: Column, page: Column, index: Column, sheet: Column) -> Column:
@@ -173,10 +177,12 @@ def drop_footers(rows: Column) -> Column:
     """G2."""
 
     def keep(r: Column, i: Column) -> Column:
-        text = strip(F.array_join(F.filter(r, lambda c: c != ""), " "))
-        data = is_data_row(r)
-        note = (filled(r) == 1) & (F.length(text) > 80) & ~data & (i > 0)
-        return (text != "") & (((i == 0) & ~data) | (~text.rlike(_FOOTER.replace("(?iu)", "(?iuU)")) & ~note))
+        def judge(full: Column) -> Column:
+            text = F.array_join(full, " ")  # cells are trimmed here, so the text is
+            footer = let(text, lambda t: t.rlike(_FOOTER.replace("(?iu)", "(?iuU)")) | ((F.size(full) == 1) & (i > 0) & (F.length(t) > 80) & ~is_data_row(r)))
+            return (F.size(full) > 0) & (((i == 0) & ~is_data_row(r)) | ~footer)
+
+        return let(F.filter(r, lambda c: c != ""), judge)
 
     return nulled(F.filter(padded(rows), keep))
 
@@ -184,26 +190,35 @@ def drop_footers(rows: Column) -> Column:
 _LETTERS = "A-Za-zÁÉÍÓÚÂÊÔÃÕÇáéíóúâêôãõç"
 
 
-def _settled(text: Column, pattern: str) -> Column:
-    """``pattern`` replaced by its two groups until nothing changes; a pass that changes anything removes white space."""
+def _settled(text: Column, sign: str, pattern: str) -> Column:
+    """``pattern`` replaced by its two groups until nothing changes; a pass that changes anything removes white space.
+
+    ``sign`` is a cheaper pattern that every match of ``pattern`` holds. Mostly one pass settles a text, so the loop over as many
+    passes as there is white space is run only for texts that hold ``sign`` after it.
+    """
 
     def step(a: Column, _: Column) -> Column:
         return F.when(a["done"], a).otherwise(let(F.regexp_replace(a["t"], pattern, "$1$2"), lambda x: F.struct(x.alias("t"), (x == a["t"]).alias("done"))))
 
-    start = F.struct(text.alias("t"), (~text.rlike(pattern)).alias("done"))
-    return F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\s"))), start, step, lambda a: a["t"])
+    def loop(x: Column) -> Column:
+        start = F.struct(x.alias("t"), (~x.rlike(pattern)).alias("done"))
+        return F.aggregate(F.sequence(F.lit(0), F.regexp_count(x, F.lit(r"\s"))), start, step, lambda a: a["t"])
+
+    once = lambda t: let(F.regexp_replace(t, pattern, "$1$2"), lambda x: F.when(x.rlike(sign), F.when(x == t, x).otherwise(loop(x))).otherwise(x))
+    return F.when(text.rlike(sign), once(text)).otherwise(text)
 
 
 def clean_cell(c: Column) -> Column:
     """Rejoin decimals and words that a layout cut off by one sign, however often; a pass joins a whole chain."""
-    out = let(cell(c), lambda t: _settled(t, r"(?:([0-9][.0-9]*+,[0-9]++)|\G(?!^))\s+([0-9])(?U:\b)"))
-    out = let(out, lambda t: _settled(t, rf"(?:(?U:\b)([{_LETTERS}]{{2,}})|\G(?!^))\s+([{_LETTERS}])(?U:\b)"))
-    return strip(F.regexp_replace(out, f"{WS}+", " "))
+    # Letters and white space exclude each other, so runs are possessive; a place inside a word fails on one sign before \b is asked.
+    out = let(cell(c), lambda t: _settled(t, r"[0-9]\s+[0-9](?![0-9])", r"(?:([0-9][.0-9]*+,[0-9]++)|\G(?!^))\s+([0-9])(?U:\b)"))
+    out = let(out, lambda t: _settled(t, rf"[{_LETTERS}]\s+[{_LETTERS}](?![{_LETTERS}])", rf"(?:(?<![{_LETTERS}])(?U:\b)([{_LETTERS}]{{2,}}+)|\G(?!^))\s+([{_LETTERS}])(?U:\b)"))
+    return one_space(out)
 
 
 def prepare(rows: Column) -> Column:
     """G4."""
-    return F.transform(drop_footers(rows), lambda r: F.transform(r, lambda c: F.nullif(clean_cell(c), F.lit(""))))
+    return F.transform(drop_footers(rows), lambda r: F.transform(r, lambda c: let(clean_cell(c), lambda x: F.when(x != "", x))))
 
 
 _I = "(?iuU)"
@@ -243,44 +258,41 @@ def dense_works(rows: Column) -> Column:
         third, quarter = F.greatest(F.lit(3), F.floor(n / 3)), F.greatest(F.lit(3), F.floor(n / 4))
         return (unit >= quarter) & (qty >= third) & (long >= third)
 
-    return F.coalesce((F.size(rows) >= 6) & (width(rows) >= 3) & let(F.slice(padded(rows), 1, 40), judge), F.lit(False))
+    return F.coalesce(let(rows, lambda x: (F.size(x) >= 6) & (width(x) >= 3) & let(F.slice(padded(x), 1, 40), judge)), F.lit(False))
 
 
 def parseable(c: Column) -> Column:
     """Not blank, not a bare currency sign, and a digit (or a spelled-out infinity or not-a-number)."""
-    text = cell(c)
-    return (text != "") & ~text.rlike(r"(?i)^R\$\s*$") & (text.rlike(r"\p{Nd}") | text.rlike(r"(?i)^(?:R\$\s*)?[+-]?(?:nan|inf|infinity)$"))
+    return let(cell(c), lambda t: (t != "") & ~t.rlike(r"(?i)^R\$\s*$") & (t.rlike(r"\p{Nd}") | t.rlike(r"(?i)^(?:R\$\s*)?[+-]?(?:nan|inf|infinity)$")))
 
 
 def score(rows: Column) -> Column:
     """The quality of a table for item extraction."""
 
-    def judge(w: Column) -> Column:
-        header_ok = header_first(w)
-        header = header_row(w)
-        item = header_ok & itemish(w)
-        dense = ~item & dense_works(w)
+    def counts(s: Column) -> Column:
+        """What each row is asked, with the columns of the header found once."""
+        any_number = lambda r: F.exists(F.when(F.size(r) > 1, F.slice(r, 2, F.size(r))).otherwise(r), lambda c: parseable(c) & ~F.upper(cell(c)).startswith("R$"))
+        qty = F.size(F.filter(s["d"], lambda r: F.when(s["qty_at"] > 0, parseable(F.get(r, (s["qty_at"] - 1).cast("int")))).otherwise(any_number(r))))
+        value = F.size(F.filter(s["d"], lambda r: F.exists(s["value_at"], lambda i: parseable(F.get(r, i)))))
+        text = F.array_join(s["h"], " | ")
+        auction = text.rlike(LOT) & (text.rlike(DESC) | text.rlike(ITEM))
+        return F.struct(s["m"].alias("m"), s["f"].alias("f"), s["i"].alias("i"), F.size(s["d"]).alias("n"), (s["qty_at"] > 0).alias("has_qty"), (F.size(s["value_at"]) > 0).alias("has_value"), qty.alias("qty"), value.alias("value"), auction.alias("auction"))
+
+    def rates(s: Column) -> Column:
+        n = s["n"]
+        qty = F.when(s["auction"] & ~s["has_qty"], 1.0).when(n == 0, 0.0).otherwise(s["qty"] / n)
+        value = F.when(~s["has_value"], 1.0).when(n == 0, 0.0).otherwise(s["value"] / n)
+        fine = s["m"] & s["i"] & (n >= 1) & (qty >= 0.5) & (~s["has_value"] | (value >= 0.5) | s["auction"])
+        return F.struct(
+            s["m"].alias("meaningful"), s["f"].alias("first_row_is_header"), s["i"].alias("has_itemish_header"), n.alias("n_data_rows"),
+            F.bround(qty, 3).alias("qty_parse_rate"), F.bround(value, 3).alias("value_parse_rate"), fine.alias("ok_for_items"), (s["m"] & (n >= 3)).alias("has_usable_tables"),
+        )
+
+    def judge(w: Column, header_ok: Column) -> Column:
         body = F.filter(F.when(header_ok, F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))).otherwise(w), lambda r: F.exists(r, lambda c: cell(c) != ""))
+        item = (header_ok & itemish(w)) | dense_works(w)
+        qty_at = lambda h: F.array_position(F.transform(h, lambda c: c.rlike(QTD)), True)
+        value_at = lambda h: F.filter(F.transform(h, lambda c, i: F.when(c.rlike(VALUE), i)), lambda i: i.isNotNull())
+        return let(header_row(w), lambda h: let(F.struct(meaningful(w).alias("m"), header_ok.alias("f"), item.alias("i"), h.alias("h"), body.alias("d"), qty_at(h).alias("qty_at"), value_at(h).alias("value_at")), lambda s: let(counts(s), rates)))
 
-        def rest(s: Column) -> Column:
-            h, data = s["h"], s["d"]
-            n = F.size(data)
-            qty_at = F.array_position(F.transform(h, lambda c: c.rlike(QTD)), True)
-            value_at = F.filter(F.transform(h, lambda c, i: F.when(c.rlike(VALUE), i)), lambda i: i.isNotNull())
-            any_number = lambda r: F.exists(F.when(F.size(r) > 1, F.slice(r, 2, F.size(r))).otherwise(r), lambda c: parseable(c) & ~F.upper(cell(c)).startswith("R$"))
-            good = F.size(F.filter(data, lambda r: F.when(qty_at > 0, parseable(F.get(r, (qty_at - 1).cast("int")))).otherwise(any_number(r))))
-            qty_rate = F.when(n == 0, 0.0).otherwise(good / n)
-            with_value = F.size(F.filter(data, lambda r: F.exists(value_at, lambda i: parseable(F.get(r, i)))))
-            value_rate = F.when(F.size(value_at) == 0, 1.0).when(n == 0, 0.0).otherwise(with_value / n)
-            text = F.array_join(h, " | ")
-            auction = text.rlike(LOT) & (text.rlike(DESC) | text.rlike(ITEM))
-            qty = F.when(auction & (qty_at == 0), 1.0).otherwise(qty_rate)
-            fine = s["m"] & s["i"] & (n >= 1) & (qty >= 0.5) & ((F.size(value_at) == 0) | (value_rate >= 0.5) | auction)
-            return F.struct(
-                s["m"].alias("meaningful"), s["f"].alias("first_row_is_header"), s["i"].alias("has_itemish_header"), n.alias("n_data_rows"),
-                F.bround(qty, 3).alias("qty_parse_rate"), F.bround(value_rate, 3).alias("value_parse_rate"), fine.alias("ok_for_items"), (s["m"] & (n >= 3)).alias("has_usable_tables"),
-            )
-
-        return let(F.struct(meaningful(w).alias("m"), header_ok.alias("f"), (item | dense).alias("i"), header.alias("h"), body.alias("d")), rest)
-
-    return let(prepare(rows), judge)
+    return let(prepare(rows), lambda w: let(header_first(w), lambda f: judge(w, f)))

@@ -95,3 +95,23 @@ def test_pages_merge_two_by_two(spark):
     df = spark.createDataFrame([("d", p, 0, rows) for p in (1, 2, 3)], "doc string, page int, index int, rows array<array<string>>")
     got = [(r["index"], r.page, len(r.rows)) for r in G.merge_pages(df, "doc").orderBy("index").collect()]
     assert got == [(0, 1, 5), (1, 3, 3)]
+
+
+def plan(spark, f):
+    return spark.createDataFrame([], "x array<array<string>>").select(f(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_header_is_read_once_for_all_rows(spark):
+    # twice as columns are found and once to judge the header; it was asked for each row before
+    assert plan(spark, M.score).count("quant|qtd") == 2
+    assert plan(spark, M.score).count("lance|pre[çc]o") == 1
+
+
+def test_lines_are_rendered_once(spark):
+    assert plan(spark, M.markdown).count("replace(") == 2
+
+
+def test_signs_that_are_trimmed(spark):
+    signs = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame([(s, f"{s}a{s}b{s}{s}") for s in signs], "s string, t string").select("s", T.strip("t").alias("x"), T.one_space(F.col("t")).alias("y")).collect()
+    assert all((r.x, r.y) == ((f"a{r.s}b", " a b ") if r.s.isspace() else (f"{r.s}a{r.s}b{r.s}{r.s}",) * 2) for r in got)
