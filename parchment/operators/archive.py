@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -227,10 +228,11 @@ def explode(uploads: DataFrame, name: str = "filename", content: str = "content"
     """
     limits = limits or Limits()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r, n, data in zip(pdf["r"], pdf["n"], pdf["c"], strict=True):
-                rows = [(r, i, p, b, why) for i, (p, b, why) in enumerate(route(n, data or b"", limits))]
-                yield pd.DataFrame(rows, columns=["root", "member_no", "path", "content", "reason"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from parchment.sources.decode import by_one, in_batches
 
-    return uploads.select(F.col(root or name).alias("r"), F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(run, "root string, member_no int, path string, content binary, reason string")
+        schema = pa.schema([("root", pa.string()), ("member_no", pa.int32()), ("path", pa.string()), ("content", pa.binary()), ("reason", pa.string())])
+        rows = ((r, i, *member) for batch in batches for r, n, data in by_one(batch) for i, member in enumerate(route(n, data or b"", limits)))
+        return in_batches(rows, schema, lambda r: len(r[3] or b""))
+
+    return uploads.select(F.col(root or name).cast("string").alias("r"), F.col(name).alias("n"), F.col(content).alias("c")).mapInArrow(run, "root string, member_no int, path string, content binary, reason string")
