@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.functions import tables as M
 from parchment.functions import text as T
-from parchment.operators.archive import Limits, explode
+from parchment.operators.archive import Limits, route
 
 from . import decode as D
 
@@ -31,18 +34,32 @@ def folder_texts(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE) ->
 def upload_texts(uploads: DataFrame, limits: Limits | None = None, max_bytes: int = MAX_FILE) -> DataFrame:
     """One row for each upload: filename, text, skipped. Rows are (filename, content).
 
-    Each upload gets a number first and is known by it from then on, so uploads of one name stay apart.
+    One pass opens an upload, decodes its members and keeps both in its row, so uploads of one name stay apart and nothing is shuffled.
     """
-    named = uploads.select(T.safe_filename(F.col("filename")).alias("filename"), "content", F.monotonically_increasing_id().cast("string").alias("root"))
-    fits = F.coalesce(F.length("content") <= max_bytes, F.lit(True))
-    members = explode(named.where(fits & (F.length("content") > 0)), limits=limits, root="root")
-    read = D.decode(members.where("reason is null").select(F.to_json(F.struct("root", "member_no", "path")).alias("key"), F.col("path").alias("p"), "content").withColumn("kp", F.concat_ws("\x00", "key", "p")), "kp")
-    key = F.from_json(F.substring_index("path", "\x00", 1), "root string, member_no int, path string")
-    read = read.select(key.alias("k"), "text").where(T.has_meaning(F.col("text"))).select("k.*", T.tagged(F.col("k.path"), F.col("text")).alias("t"))
-    texts = read.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(T.walk_key(F.col("path")).alias("w"), "member_no", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
-    gone = members.where("reason is not null").groupBy("root").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "reason"))).alias("skipped"))
-    out = named.select("root", "filename", F.when(~fits, F.array(F.lit("file too large"))).alias("too_large")).join(texts, "root", "left").join(gone, "root", "left")
-    return out.select("filename", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("too_large", "skipped", F.array().cast("array<string>")).alias("skipped"))
+    limits, decoders = limits or Limits(), dict(D.DECODERS)
+    member = pa.struct([("path", pa.string()), ("member_no", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("filename", pa.string()), ("members", pa.list_(member)), ("gone", pa.list_(pa.string())), ("too_large", pa.bool_())])
+
+    def opened(name: str, data: bytes | None) -> tuple:
+        if data is not None and len(data) > max_bytes:
+            return name, [], [], True
+        texts, gone = [], []
+        for i, (path, body, why) in enumerate(route(name, data, limits) if data else ()):
+            if why is None:
+                texts.append({"path": path, "member_no": i, "text": D._decode(path, body, decoders)[0]})
+            else:
+                gone.append(f"{path}: {why}")
+        return name, texts, gone, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return D.in_batches((opened(n, c) for batch in batches for n, c in D.by_one(batch)), schema, lambda r: sum(len(m["text"]) for m in r[1]))
+
+    kinds = "filename string, members array<struct<path:string,member_no:int,text:string>>, gone array<string>, too_large boolean"
+    read = uploads.select(T.safe_filename(F.col("filename")).alias("filename"), "content").mapInArrow(run, kinds)
+    full = F.filter("members", lambda m: T.has_meaning(m["text"]))
+    ordered = F.sort_array(F.transform(full, lambda m: F.struct(T.walk_key(m["path"]).alias("w"), m["member_no"].alias("n"), T.tagged(m["path"], m["text"]).alias("t"))))
+    skipped = F.when(F.col("too_large"), F.array(F.lit("file too large"))).otherwise(F.sort_array("gone"))
+    return read.select("filename", F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("text"), skipped.alias("skipped"))
 
 
 def table_blocks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -22,3 +22,8 @@ def test_batches_hold_many_rows_and_few_bytes():
     schema = pa.schema([("n", pa.int64())])
     assert [b.num_rows for b in D.in_batches(((i,) for i in range(D.BATCH_ROWS * 2 + 1)), schema, lambda r: 1)] == [D.BATCH_ROWS, D.BATCH_ROWS, 1]
     assert [b.num_rows for b in D.in_batches(((i,) for i in range(3)), schema, lambda r: D.BATCH_BYTES)] == [1, 1, 1]
+
+
+def test_uploads_are_opened_once_without_a_shuffle(spark, data):
+    plan = C.queries()["upload_text"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
