@@ -17,6 +17,8 @@ from parchment.functions import text as T
 WINDOW, STEP, MIN_CIPHER, MIN_FRAGMENT = 400, 200, 80, 60
 #: Above this many words a lexicon is joined by shuffle; up to it each worker has it as a set and nothing is shuffled.
 BROADCAST_WORDS = 1_000_000
+#: Rows of a batch that a worker holds as Python lists at a time, and answers it remembers.
+SLICE, SEEN = 32, 100_000
 
 
 @F.pandas_udf(StringType())
@@ -91,7 +93,7 @@ class _Known:
     def __call__(self, tok: str) -> bool:
         hit = self.seen.get(tok)
         if hit is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) >= SEEN:
                 self.seen.clear()
             hit = self.seen[tok] = tok.lower().translate(self.table) in self.words
         return hit
@@ -101,20 +103,34 @@ def _windows(n: int) -> range:
     return range(0, max(0, n - WINDOW) + 1, STEP)
 
 
-def _by_document(docs: DataFrame, key: str, columns: list[Column], known: frozenset[str], schema: str, judge: Callable) -> DataFrame:
-    """One Arrow pass without a shuffle: ``judge`` sees the token arrays of one document at a time."""
+def _by_document(docs: DataFrame, keys: list[str], columns: list[Column], known: frozenset[str], schema: str, judge: Callable, least: int = 0) -> DataFrame:
+    """One Arrow pass without a shuffle: ``judge`` sees the token arrays of one document at a time.
+
+    Rows whose first array has fewer than ``least`` tokens are left out. Arrays become Python lists a few rows at a time, so what a
+    worker holds does not follow the batch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    given = docs.select(F.col(key), *[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    given = docs.select(*keys, *[c.alias(f"_{i}") for i, c in enumerate(columns)])
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"double": pa.float64(), "boolean": pa.bool_()}
 
+    def rows(hit: _Known, batch: pa.RecordBatch) -> Iterator[tuple | None]:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for x in zip(*[c.to_pylist() for c in part.columns[len(keys) :]], strict=True):
+                yield judge(hit, *x) if not least or len(x[0] or ()) >= least else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = _Known(shared.value)
         for batch in batches:
-            rows = [judge(hit, *x) for x in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)]], names=[key, *[n for n, _ in fields]])
+            got = [*rows(hit, batch)]
+            kept = pa.array([r is not None for r in got], pa.bool_())
+            got = [r for r in got if r is not None]
+            made = [pa.array([r[i] for r in got], kinds[k]) for i, (_, k) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*[c.filter(kept) for c in batch.columns[: len(keys)]], *made], names=[*keys, *[n for n, _ in fields]])
 
-    return given.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+    types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return given.mapInArrow(run, f"{types}, {schema}")
 
 
 def _fragmented(hit: _Known, toks: list[str]) -> tuple[float, bool]:
@@ -144,10 +160,15 @@ def _ciphered(hit: _Known, toks: list[str], tails: list[str | None]) -> tuple[fl
     return score, flag
 
 
+def _tails(toks: str) -> Column:
+    """For each token its tail if it is deformed, else null."""
+    return F.transform(toks, lambda t: F.when(is_cipher(t) & ~is_glued(t), cipher_tail(t)))
+
+
 def dict_rate(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q14: key, rate; repeated tokens count as often as they stand, no token gives zero."""
     if (words := _small(lexicon)) is not None:
-        return _by_document(docs, key, [F.col(toks)], words, "rate double", lambda hit, x: (sum(map(hit, x)) / len(x) if x else 0.0,))
+        return _by_document(docs, [key], [F.col(toks)], words, "rate double", lambda hit, x: (sum(map(hit, x)) / len(x) if x else 0.0,))
     words = docs.select(key, F.explode_outer(toks).alias("tok")).groupBy(key, "tok").agg(F.count("tok").alias("n"))
     hit = with_hits(words, lexicon, "tok")
     return hit.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate"))
@@ -156,7 +177,7 @@ def dict_rate(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataF
 def fragments(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q8f: key, score, flag for documents with windows: the worst share of two-letter tokens that are mostly words."""
     if (words := _small(lexicon)) is not None:
-        return _by_document(docs.where(F.size(toks) >= MIN_FRAGMENT), key, [F.col(toks)], words, "score double, flag boolean", _fragmented)
+        return _by_document(docs, [key], [F.col(toks)], words, "score double, flag boolean", _fragmented, MIN_FRAGMENT)
     w = windows(docs, key, toks, MIN_FRAGMENT)
     two = w.select(key, "start", F.size("seg").alias("n"), F.explode_outer(F.filter("seg", lambda t: F.length(t) == 2)).alias("tok"))
     two = with_hits(two.groupBy(key, "start", "n", "tok").agg(F.count("tok").alias("m")), lexicon, "tok")
@@ -168,8 +189,7 @@ def fragments(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataF
 def ciphers(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFrame:
     """Q8: key, score, flag for documents with windows: the worst share of tokens that a substitution has deformed."""
     if (words := _small(lexicon)) is not None:
-        tails = F.transform(toks, lambda t: F.when(is_cipher(t) & ~is_glued(t), cipher_tail(t)))
-        return _by_document(docs.where(F.size(toks) >= MIN_CIPHER), key, [F.col(toks), tails], words, "score double, flag boolean", _ciphered)
+        return _by_document(docs, [key], [F.col(toks), _tails(toks)], words, "score double, flag boolean", _ciphered, MIN_CIPHER)
     w = windows(docs, key, toks, MIN_CIPHER)
     words = w.select(key, "start", F.size("seg").alias("size"), F.explode("seg").alias("tok")).groupBy(key, "start", "size", "tok").agg(F.count(F.lit(1)).alias("n"))
     words = with_hits(words, lexicon, "tok")
@@ -184,14 +204,23 @@ def ciphers(docs: DataFrame, key: str, toks: str, lexicon: DataFrame) -> DataFra
     return per.groupBy(key).agg(F.max(rate).alias("score"), F.bool_or(flag).alias("flag"))
 
 
+def _cause() -> Column:
+    return F.when(F.col("encoded"), "encoded").when(F.col("cipher"), "cipher").when(F.col("fragmented"), "fragmented")
+
+
 def broken(docs: DataFrame, key: str, text: str, lexicon: DataFrame, fold: bool = True) -> DataFrame:
     """Q9: key, broken, cause (encoded, cipher, fragmented, or null); one row for each key. Null text is not broken."""
     plain = T.drop_urls(nfkc(F.col(text)) if fold else F.col(text))
     t = docs.select(key, T.encoded_glyphs(F.col(text)).alias("encoded"), T.tokens(plain).alias("toks"))
+    if (words := _small(lexicon)) is not None:
+        def judge(hit: _Known, toks: list[str], tails: list[str | None]) -> tuple[bool, bool]:
+            return len(toks) >= MIN_CIPHER and bool(_ciphered(hit, toks, tails)[1]), len(toks) >= MIN_FRAGMENT and _fragmented(hit, toks)[1]
+
+        t = _by_document(t, [key, "encoded"], [F.col("toks"), _tails("toks")], words, "cipher boolean, fragmented boolean", judge)
+        return t.select(key, _cause().isNotNull().alias("broken"), _cause().alias("cause"))
     c = ciphers(t, key, "toks", lexicon).select(key, F.col("flag").alias("cipher"))
     f = fragments(t, key, "toks", lexicon).select(key, F.col("flag").alias("fragmented"))
-    cause = F.when(F.col("encoded"), "encoded").when(F.col("cipher"), "cipher").when(F.col("fragmented"), "fragmented")
-    return t.select(key, "encoded").join(c, key, "left").join(f, key, "left").select(key, cause.isNotNull().alias("broken"), cause.alias("cause"))
+    return t.select(key, "encoded").join(c, key, "left").join(f, key, "left").select(key, _cause().isNotNull().alias("broken"), _cause().alias("cause"))
 
 
 def improves(o: dict[str, Column], c: dict[str, Column]) -> Column:
