@@ -17,3 +17,8 @@ def test_tokens_of_a_batch_are_not_held_at_once(spark):
     docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("t"))
     got = Q._by_document(docs, ["k"], [F.col("t")], frozenset(["t1"]), "blocks double", lambda hit, x: (float(sys.getallocatedblocks()),)).agg(F.count("k").alias("n"), F.max("blocks").alias("m")).first()
     assert got.n == 10_000 and got.m < 1_500_000  # two million tokens
+
+
+def test_few_answers_are_remembered():
+    hit = Q._Known(frozenset(["w1"]))
+    assert sum(hit(f"w{i}") for i in range(250_000)) == 1 and len(hit.seen) <= 100_000
