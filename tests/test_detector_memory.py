@@ -22,3 +22,9 @@ def test_tokens_of_a_batch_are_not_held_at_once(spark):
 def test_few_answers_are_remembered():
     hit = Q._Known(frozenset(["w1"]))
     assert sum(hit(f"w{i}") for i in range(250_000)) == 1 and len(hit.seen) <= 100_000
+
+
+def test_rates_over_several_slices(spark):
+    docs = spark.range(0, 3 * Q.SLICE + 1, 1, 1).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, F.array(F.lit("ab"), F.lit("zz"))).otherwise(F.array().cast("array<string>")).alias("t"))
+    lex = spark.createDataFrame([("ab",)], "word string")
+    assert [r.rate for r in Q.dict_rate(docs, "k", "t", lex).orderBy("k").collect()] == [0.5 if i % 2 == 0 else 0.0 for i in range(3 * Q.SLICE + 1)]
