@@ -4,7 +4,6 @@ import io
 import zipfile
 
 import pyarrow as pa
-import pytest
 
 from parchment.plans import catalogue as C
 from parchment.sources import decode as D
@@ -27,3 +26,19 @@ def test_batches_hold_many_rows_and_few_bytes():
 def test_uploads_are_opened_once_without_a_shuffle(spark, data):
     plan = C.queries()["upload_text"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_xlsx_is_opened_once(spark, data, monkeypatch):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{rel}"><sheets><sheet name="a" sheetId="1" r:id="r1"/><sheet name="b" sheetId="2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="s.xml"/></Relationships>')
+        z.writestr("xl/s.xml", '<worksheet><sheetData><row><c r="A1"><v>7</v></c></row></sheetData></worksheet>')
+    opened, whole = [], zipfile.ZipFile._RealGetContents
+    monkeypatch.setattr(zipfile.ZipFile, "_RealGetContents", lambda z: opened.append(1) or whole(z))
+    assert D.xlsx_text(buf.getvalue()) == "7 7" and len(opened) == 1
+
+
+def test_xlsx_decode_runs_on_all_cores(spark, data):
+    assert cores(spark, data, "xlsx_decode")
