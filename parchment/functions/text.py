@@ -27,6 +27,10 @@ _ONE.pop("f")
 _MANY = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "…": "...", "—": "--", "€": "EUR", "°": "deg", "©": "(c)", "®": "(r)", "™": "(tm)", "½": "1/2", "¼": "1/4", "¾": "3/4", "«": "<<", "»": ">>", "ﬁ": "fi", "ﬂ": "fl"}
 
 
+#: White space as \s has it in DuckDB's patterns.
+SQL_SPACE = r"[\t\n\f\r ]"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_SIGNS))
 
@@ -48,8 +52,8 @@ def fold_table() -> dict[int, str]:
     return {ord(c): k for k, v in _ONE.items() for c in v} | {ord(k): v for k, v in _MANY.items()}
 
 
-def split_words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), lambda w: w != "")
+def split_words(text: Column, space: str = WS) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{space}+"), lambda w: w != "")
 
 
 def remove_noise(text: Column) -> Column:
@@ -76,19 +80,19 @@ def has_meaning(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[\p{L}\p{N}\p{P}\p{S}\p{M}]"), F.lit(False))
 
 
-def letter_ratio(text: Column) -> Column:
-    """Q1: letters over visible characters; zero if there is none."""
-    visible = F.length(F.regexp_replace(text, WS, ""))
-    return F.when(visible > 0, F.length(F.regexp_replace(text, r"\P{L}", "")) / visible).otherwise(0.0)
+def letter_ratio(text: Column, space: str = WS, none: float = 0.0) -> Column:
+    """Q1: letters over visible characters, those that are not ``space``; ``none`` if there is none, null of a null."""
+    visible = F.length(F.regexp_replace(text, space, ""))
+    return F.when(visible > 0, F.length(F.regexp_replace(text, r"\P{L}", "")) / visible).when(visible == 0, F.lit(none))
 
 
-def encoded_glyphs(text: Column) -> Column:
+def encoded_glyphs(text: Column, space: str = WS) -> Column:
     """Q2: undecoded glyph names, cid marks, or hardly any letter."""
-    words = split_words(text)
-    names = F.size(F.filter(words, lambda w: w.rlike(r"^/[a-zA-Z]{0,4}[0-9]{1,5}$")))
+    words = split_words(text, space)
+    names = F.size(F.filter(words, lambda w: w.rlike(r"^/[a-zA-Z]{0,4}[0-9]{1,5}\z")))
     n, size = F.size(words), F.length(text)
     cid = size - F.length(F.regexp_replace(text, r"\(cid:\d+\)", ""))
-    return F.coalesce(((n >= 8) & (names / n >= 0.4)) | ((size >= 40) & (((cid > 0) & (cid / size >= 0.3)) | (letter_ratio(text) < 0.3))), F.lit(False))
+    return F.coalesce(((n >= 8) & (names / n >= 0.4)) | ((size >= 40) & (((cid > 0) & (cid / size >= 0.3)) | (letter_ratio(text, space) < 0.3))), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
