@@ -42,3 +42,8 @@ def test_xlsx_is_opened_once(spark, data, monkeypatch):
 
 def test_xlsx_decode_runs_on_all_cores(spark, data):
     assert cores(spark, data, "xlsx_decode")
+
+
+def test_structured_files_runs_on_all_cores(spark, data):
+    raw = D.matrices(C._parts(spark, data).selectExpr("concat('f', p_partkey, '.csv') path", "content"))
+    assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
