@@ -115,3 +115,10 @@ def test_signs_that_are_trimmed(spark):
     signs = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
     got = spark.createDataFrame([(s, f"{s}a{s}b{s}{s}") for s in signs], "s string, t string").select("s", T.strip("t").alias("x"), T.one_space(F.col("t")).alias("y")).collect()
     assert all((r.x, r.y) == ((f"a{r.s}b", " a b ") if r.s.isspace() else (f"{r.s}a{r.s}b{r.s}{r.s}",) * 2) for r in got)
+
+
+def test_header_is_collapsed_once(spark, data):
+    from parchment.plans import catalogue as C
+
+    # the limit of six rows stands in each copy of the rule
+    assert C.collapse_header(spark, data)._jdf.queryExecution().optimizedPlan().toString().count("valor total") == 1
