@@ -122,3 +122,8 @@ def test_header_is_collapsed_once(spark, data):
 
     # the limit of six rows stands in each copy of the rule
     assert C.collapse_header(spark, data)._jdf.queryExecution().optimizedPlan().toString().count("valor total") == 1
+
+
+def test_rows_are_read_once(spark):
+    twice = lambda r: F.concat(r, r)
+    assert plan(spark, lambda r: M.drop_footers(twice(r))).count("concat(x#") == 1
