@@ -127,3 +127,10 @@ def test_header_is_collapsed_once(spark, data):
 def test_rows_are_read_once(spark):
     twice = lambda r: F.concat(r, r)
     assert plan(spark, lambda r: M.drop_footers(twice(r))).count("concat(x#") == 1
+
+
+def test_order_of_lines_is_not_a_lambda(spark, data):
+    from parchment.plans import catalogue as C
+
+    p = C.table_markdown(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in p and "array_sort" not in p
