@@ -134,3 +134,7 @@ def test_order_of_lines_is_not_a_lambda(spark, data):
 
     p = C.table_markdown(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" in p and "array_sort" not in p
+
+
+def test_meaningful_reads_rows_once(spark):
+    assert plan(spark, lambda r: M.meaningful(F.concat(r, r))).count("concat(x#") == 1
