@@ -138,3 +138,9 @@ def test_order_of_lines_is_not_a_lambda(spark, data):
 
 def test_meaningful_reads_rows_once(spark):
     assert plan(spark, lambda r: M.meaningful(F.concat(r, r))).count("concat(x#") == 1
+
+
+def test_neighbours_are_compared_in_place(spark):
+    assert "zip_with" not in plan(spark, lambda r: M.word_splits(r)["ratio"])
+    got = value(spark, [["ab", "cd", None, " x", "y "], [], ["1", "a"]], M.word_splits)
+    assert (got["ratio"], got["sample"]) == (2 / 3, 3)
