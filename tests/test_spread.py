@@ -47,3 +47,7 @@ def test_xlsx_decode_runs_on_all_cores(spark, data):
 def test_structured_files_runs_on_all_cores(spark, data):
     raw = D.matrices(C._parts(spark, data).selectExpr("concat('f', p_partkey, '.csv') path", "content"))
     assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_docx_decode_runs_on_all_cores(spark, data):
+    assert cores(spark, data, "docx_decode")
