@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import one_space, strip
+from .text import UNEVEN, one_space, strip
 
 MATRIX = "array<array<string>>"
 
@@ -19,17 +19,27 @@ def cell(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit("")))
 
 
+def bare(c: Column) -> Column:
+    """``cell`` of a cell that is trimmed already; functions that take it as ``of`` are then spared the trimming."""
+    return F.coalesce(c, F.lit(""))
+
+
 def width(rows: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
 
 
-def filled(row: Column) -> Column:
-    return F.size(F.filter(row, lambda c: cell(c) != ""))
+def filled(row: Column, of=cell) -> Column:
+    return F.size(F.filter(row, lambda c: of(c) != ""))
 
 
 def padded(rows: Column) -> Column:
     """Trimmed cells, all rows of one width."""
-    return let(rows, lambda x: let(width(x), lambda w: F.transform(x, lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), w - F.size(r))))))
+
+    def even(r: Column, w: Column) -> Column:
+        cells = F.transform(r, cell)
+        return F.when(F.size(r) == w, cells).otherwise(F.concat(cells, F.array_repeat(F.lit(""), w - F.size(r))))
+
+    return let(rows, lambda x: let(width(x), lambda w: F.transform(x, lambda r: even(r, w))))
 
 
 def nulled(rows: Column) -> Column:
@@ -49,9 +59,9 @@ def header_first(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, ~is_data_row(F.get(rows, F.lit(0)))).otherwise(True)
 
 
-def drop_empty(rows: Column) -> Column:
+def drop_empty(rows: Column, of=cell) -> Column:
     """N2."""
-    return F.filter(rows, lambda r: F.exists(r, lambda c: cell(c) != ""))
+    return F.filter(rows, lambda r: F.exists(r, lambda c: of(c) != ""))
 
 
 def _joined(group: Column) -> Column:
@@ -95,28 +105,28 @@ def normalize(rows: Column, collapse_headers: bool = True, continuations: bool =
     return drop_empty(out)
 
 
-def word_splits(rows: Column) -> Column:
+def word_splits(rows: Column, of=cell) -> Column:
     """Struct of ratio (null without a sample) and sample: how many neighbouring cells cut a word."""
 
     def of_row(r: Column) -> Column:
         after = lambda t, i: F.get(t, i + 1)  # noqa: E731  null behind the last cell
         n = lambda t: F.size(F.filter(t, lambda c, i: (c != "") & (after(t, i) != "")))
         cut = lambda t: F.size(F.filter(t, lambda c, i: after(t, i).rlike("^[A-Za-zÀ-ÿ]") & F.substring(c, -1, 1).rlike("[A-Za-zÀ-ÿ]")))
-        return let(F.transform(r, cell), lambda t: F.struct(cut(t).alias("cut"), n(t).alias("n")))
+        return let(F.transform(r, of), lambda t: F.struct(cut(t).alias("cut"), n(t).alias("n")))
 
     sums = F.aggregate(F.transform(rows, of_row), F.struct(F.lit(0).alias("cut"), F.lit(0).alias("n")), lambda a, x: F.struct((a["cut"] + x["cut"]).alias("cut"), (a["n"] + x["n"]).alias("n")))
     return let(sums, lambda s: F.struct(F.when(s["n"] > 0, s["cut"] / s["n"]).alias("ratio"), s["n"].alias("sample")))
 
 
-def meaningful(rows: Column, min_cols: int = 2, min_rows: int = 2, min_filled: int = 4, max_ratio: float = 0.7, min_sample: int = 8) -> Column:
+def meaningful(rows: Column, min_cols: int = 2, min_rows: int = 2, min_filled: int = 4, max_ratio: float = 0.7, min_sample: int = 8, of=cell) -> Column:
     """A table, and not a box of text."""
 
     def judge(full: Column) -> Column:
-        enough = let(F.transform(full, filled), lambda n: (F.aggregate(n, F.lit(0), lambda a, x: a + x) >= min_filled) & F.exists(n, lambda x: x >= 2))
-        cut = let(word_splits(full), lambda s: (s["sample"] >= min_sample) & (F.coalesce(s["ratio"], F.lit(0.0)) > max_ratio))
+        enough = let(F.transform(full, lambda r: filled(r, of)), lambda n: (F.aggregate(n, F.lit(0), lambda a, x: a + x) >= min_filled) & F.exists(n, lambda x: x >= 2))
+        cut = let(word_splits(full, of), lambda s: (s["sample"] >= min_sample) & (F.coalesce(s["ratio"], F.lit(0.0)) > max_ratio))
         return (F.size(full) >= min_rows) & enough & ~cut
 
-    return F.coalesce(let(rows, lambda x: (width(x) >= min_cols) & let(drop_empty(x), judge)), F.lit(False))
+    return F.coalesce(let(rows, lambda x: (width(x) >= min_cols) & let(drop_empty(x, of), judge)), F.lit(False))
 
 
 def signature(rows: Column) -> Column:
@@ -173,8 +183,8 @@ def comment(source: Column, page: Column, index: Column, sheet: Column) -> Colum
 _FOOTER = r"(?iu)^\s*(?:subtotal|total\s*geral|valor\s*total|aten[çc][ãa]o)\b"
 
 
-def drop_footers(rows: Column) -> Column:
-    """G2."""
+def _body(rows: Column) -> Column:
+    """Padded rows that are no footers."""
 
     def keep(r: Column, i: Column) -> Column:
         def judge(full: Column) -> Column:
@@ -184,7 +194,12 @@ def drop_footers(rows: Column) -> Column:
 
         return let(F.filter(r, lambda c: c != ""), judge)
 
-    return nulled(F.filter(padded(rows), keep))
+    return F.filter(padded(rows), keep)
+
+
+def drop_footers(rows: Column) -> Column:
+    """G2."""
+    return nulled(_body(rows))
 
 
 _LETTERS = "A-Za-zÁÉÍÓÚÂÊÔÃÕÇáéíóúâêôãõç"
@@ -208,17 +223,22 @@ def _settled(text: Column, sign: str, pattern: str) -> Column:
     return F.when(text.rlike(sign), once(text)).otherwise(text)
 
 
-def clean_cell(c: Column) -> Column:
+def clean_cell(c: Column, of=cell) -> Column:
     """Rejoin decimals and words that a layout cut off by one sign, however often; a pass joins a whole chain."""
-    # Letters and white space exclude each other, so runs are possessive; a place inside a word fails on one sign before \b is asked.
-    out = let(cell(c), lambda t: _settled(t, r"[0-9]\s+[0-9](?![0-9])", r"(?:([0-9][.0-9]*+,[0-9]++)|\G(?!^))\s+([0-9])(?U:\b)"))
-    out = let(out, lambda t: _settled(t, rf"[{_LETTERS}]\s+[{_LETTERS}](?![{_LETTERS}])", rf"(?:(?<![{_LETTERS}])(?U:\b)([{_LETTERS}]{{2,}}+)|\G(?!^))\s+([{_LETTERS}])(?U:\b)"))
-    return one_space(out)
+    digits, letters = r"[0-9]\s+[0-9](?![0-9])", rf"[{_LETTERS}]\s+[{_LETTERS}](?![{_LETTERS}])"
+
+    def clean(t: Column) -> Column:
+        # Letters and white space exclude each other, so runs are possessive; a place inside a word fails on one sign before \b is asked.
+        out = _settled(t, digits, r"(?:([0-9][.0-9]*+,[0-9]++)|\G(?!^))\s+([0-9])(?U:\b)")
+        return one_space(let(out, lambda t: _settled(t, letters, rf"(?:(?<![{_LETTERS}])(?U:\b)([{_LETTERS}]{{2,}}+)|\G(?!^))\s+([{_LETTERS}])(?U:\b)")))
+
+    # Most cells hold nothing of the three kinds, which one look tells.
+    return let(of(c), lambda t: F.when(t.rlike(f"{digits}|{letters}|{UNEVEN}"), clean(t)).otherwise(t))
 
 
 def prepare(rows: Column) -> Column:
     """G4."""
-    return F.transform(drop_footers(rows), lambda r: F.transform(r, lambda c: let(clean_cell(c), lambda x: F.when(x != "", x))))
+    return F.transform(_body(rows), lambda r: F.transform(r, lambda c: F.when(c != "", clean_cell(c, lambda t: t))))
 
 
 _I = "(?iuU)"
@@ -261,9 +281,9 @@ def dense_works(rows: Column) -> Column:
     return F.coalesce(let(rows, lambda x: (F.size(x) >= 6) & (width(x) >= 3) & let(F.slice(padded(x), 1, 40), judge)), F.lit(False))
 
 
-def parseable(c: Column) -> Column:
-    """Not blank, not a bare currency sign, and a digit (or a spelled-out infinity or not-a-number)."""
-    return let(cell(c), lambda t: (t != "") & ~t.rlike(r"(?i)^R\$\s*$") & (t.rlike(r"\p{Nd}") | t.rlike(r"(?i)^(?:R\$\s*)?[+-]?(?:nan|inf|infinity)$")))
+def parseable(c: Column, of=cell) -> Column:
+    """A digit, or a spelled-out infinity or not-a-number; so neither blank nor a bare currency sign."""
+    return let(of(c), lambda t: t.rlike(r"\p{Nd}") | t.rlike(r"(?i)^(?:R\$\s*)?[+-]?(?:nan|inf|infinity)$"))
 
 
 def score(rows: Column) -> Column:
@@ -271,9 +291,9 @@ def score(rows: Column) -> Column:
 
     def counts(s: Column) -> Column:
         """What each row is asked, with the columns of the header found once."""
-        any_number = lambda r: F.exists(F.when(F.size(r) > 1, F.slice(r, 2, F.size(r))).otherwise(r), lambda c: parseable(c) & ~F.upper(cell(c)).startswith("R$"))
-        qty = F.size(F.filter(s["d"], lambda r: F.when(s["qty_at"] > 0, parseable(F.get(r, (s["qty_at"] - 1).cast("int")))).otherwise(any_number(r))))
-        value = F.size(F.filter(s["d"], lambda r: F.exists(s["value_at"], lambda i: parseable(F.get(r, i)))))
+        any_number = lambda r: F.exists(F.when(F.size(r) > 1, F.slice(r, 2, F.size(r))).otherwise(r), lambda c: parseable(c, bare) & ~F.upper(bare(c)).startswith("R$"))
+        qty = F.size(F.filter(s["d"], lambda r: F.when(s["qty_at"] > 0, parseable(F.get(r, (s["qty_at"] - 1).cast("int")), bare)).otherwise(any_number(r))))
+        value = F.size(F.filter(s["d"], lambda r: F.exists(s["value_at"], lambda i: parseable(F.get(r, i), bare))))
         text = F.array_join(s["h"], " | ")
         auction = text.rlike(LOT) & (text.rlike(DESC) | text.rlike(ITEM))
         return F.struct(s["m"].alias("m"), s["f"].alias("f"), s["i"].alias("i"), F.size(s["d"]).alias("n"), (s["qty_at"] > 0).alias("has_qty"), (F.size(s["value_at"]) > 0).alias("has_value"), qty.alias("qty"), value.alias("value"), auction.alias("auction"))
@@ -289,10 +309,10 @@ def score(rows: Column) -> Column:
         )
 
     def judge(w: Column, header_ok: Column) -> Column:
-        body = F.filter(F.when(header_ok, F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))).otherwise(w), lambda r: F.exists(r, lambda c: cell(c) != ""))
+        body = F.filter(F.when(header_ok, F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))).otherwise(w), lambda r: F.exists(r, lambda c: c.isNotNull()))
         item = (header_ok & itemish(w)) | dense_works(w)
         qty_at = lambda h: F.array_position(F.transform(h, lambda c: c.rlike(QTD)), True)
         value_at = lambda h: F.filter(F.transform(h, lambda c, i: F.when(c.rlike(VALUE), i)), lambda i: i.isNotNull())
-        return let(header_row(w), lambda h: let(F.struct(meaningful(w).alias("m"), header_ok.alias("f"), item.alias("i"), h.alias("h"), body.alias("d"), qty_at(h).alias("qty_at"), value_at(h).alias("value_at")), lambda s: let(counts(s), rates)))
+        return let(header_row(w), lambda h: let(F.struct(meaningful(w, of=bare).alias("m"), header_ok.alias("f"), item.alias("i"), h.alias("h"), body.alias("d"), qty_at(h).alias("qty_at"), value_at(h).alias("value_at")), lambda s: let(counts(s), rates)))
 
     return let(prepare(rows), lambda w: let(header_first(w), lambda f: judge(w, f)))

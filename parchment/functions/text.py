@@ -15,6 +15,8 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 #: The same signs in a row, the space first, and the class without the space.
 WS_SIGNS = " " + "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _WS_BUT_SPACE = WS.replace("\\x20", "\\x1f")
+#: White space that is not one space alone.
+UNEVEN = rf" {WS}+|{_WS_BUT_SPACE}{WS}*"
 _ONE = {
     "A": "ÀÁÂÃÄÅĀĂĄ", "C": "ÇĆĈĊČ", "D": "ÐĎĐ", "E": "ÈÉÊËĒĔĖĘĚ", "G": "ĜĞĠĢ", "H": "ĤĦ", "I": "ÌÍÎÏĨĪĬĮİ", "J": "Ĵ", "K": "Ķ", "L": "ĹĻĽĿŁ",
     "N": "ÑŃŅŇ", "O": "ÒÓÔÕÖØŌŎŐ", "R": "ŔŖŘ", "S": "ŚŜŞŠ", "T": "ŢŤŦ", "U": "ÙÚÛÜŨŪŬŮŰŲ", "W": "Ŵ", "Y": "ÝŶŸ", "Z": "ŹŻŽ",
@@ -37,7 +39,7 @@ def strip(text: Column) -> Column:
 
 def one_space(text: Column) -> Column:
     """Each run of white space as one space; runs that are one space already are not matched."""
-    return F.regexp_replace(text, rf" {WS}+|{_WS_BUT_SPACE}{WS}*", " ")
+    return F.regexp_replace(text, UNEVEN, " ")
 
 
 def fold(text: Column) -> Column:
